@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobmill.functions.text import squeeze
 from jobmill.llm.boilerplate import repeated_lines
 from jobmill.llm.canonical import canonical_values
+from jobmill.llm.entities import match_openings
 from jobmill.llm.packing import pack, token_counts
 from jobmill.llm.tokenizer import encode_column
 from jobmill.operators.skew import join_counted
@@ -29,6 +30,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("job_id", "field_name", "raw_value", "canon_term").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of adverts of different sites that are one opening (TESTDATA.md, problem 2)."""
+    return match_openings(table(spark, sf_dir, "all_jobs"), F.col("site").startswith("ats:")).select("job_id_a", "job_id_b")
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs, each with its confidence."""
+    return match_openings(table(spark, sf_dir, "all_jobs"), F.col("site").startswith("ats:"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a company repeats over its adverts (TESTDATA.md, problem 3)."""
     cases = repeated_lines(table(spark, sf_dir, "all_jobs"), "company", "job_id", "jd_text")
@@ -45,5 +56,5 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
 ORACLE: dict[str, str] = {}
