@@ -10,6 +10,7 @@ from jobmill.llm.boilerplate import repeated_lines
 from jobmill.llm.canonical import canonical_values
 from jobmill.llm.entities import match_openings
 from jobmill.llm.packing import pack, token_counts
+from jobmill.llm.sentences import sentence_units
 from jobmill.llm.tokenizer import encode_column
 from jobmill.operators.skew import join_counted
 from jobmill.session import cut, table
@@ -56,5 +57,10 @@ def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "n_tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence units of every document (TESTDATA.md, problem 9)."""
+    return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
