@@ -23,8 +23,7 @@ from jobmill.llm.canonical import edits, plain
 from jobmill.operators.skew import join_counted
 from jobmill.session import cut
 
-BANDS, ROWS = 32, 3  #: MinHash bands and the hashes in each
-LEAST_SIMILAR = 0.3  #: estimated Jaccard from which a blocked pair of forms is verified
+BANDS, ROWS = 40, 4  #: MinHash bands and the hashes in each
 TRAIN_PAIRS = 20_000  #: the most labelled pairs that the classifier is fitted and calibrated on
 LEAST_LABELS = 30  #: with fewer of either label, the fixed weights stand
 MATCH = 0.5  #: probability from which a pair is a match
@@ -192,11 +191,11 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a form of `left` and an `other` of `right` that share enough MinHash bands and differ by a few slips."""
+    """Pairs of a form of `left` and an `other` of `right` that share a MinHash band and differ by a few slips."""
     rest = [c for c in right.columns if c != "form"]
     pairs = _banded(left).join(_banded(right).withColumnRenamed("form", "other"), ["band", "hash"])
-    shared = pairs.groupBy(*left.columns, "other", *rest).agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where(F.col("shared") >= BANDS * LEAST_SIMILAR**ROWS / 2).withColumn("slips", _slips("form", "other")).where("slips < 99")
+    close = pairs.where(F.levenshtein("form", "other", 4) >= 0)  # two swaps of neighbours are four plain edits
+    return close.select(*left.columns, "other", *rest).distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 
 
 def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
