@@ -110,3 +110,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+
+ORACLE = {
+    "p5_found": r"""
+with polls as (select distinct poll_no, ats, board_id, polled_at from list_polls where complete and not not_modified and error_text is null and polled_at is not null),
+seqs as (select *, row_number() over w as seq, lead(poll_no) over w as next_poll from polls window w as (partition by ats, board_id order by polled_at, poll_no)),
+green as (select poll_no, cast(id as varchar) as posting_id, max(case when regexp_full_match(trim(updated_at), '[0-9]{10}') then cast(trim(updated_at) as bigint) * 1000 else epoch_ms(try_strptime(regexp_replace(trim(updated_at), 'Z$', '+00:00'),
+ ['%Y-%m-%dT%H:%M:%S%z', '%Y-%m-%dT%H:%M:%S.%g%z', '%Y-%m-%d %H:%M:%S %z', '%a, %d %b %Y %H:%M:%S %z'])) end) as a, null as b from greenhouse_list group by 1, 2),
+lever as (select poll_no, lower(trim(id)) as posting_id, max(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'))) as a, max(trim(regexp_replace(descriptionplain, '[\s\x{00A0}]+', ' ', 'g'))) as b from lever_list where id is not null group by 1, 2),
+rows_ as (select s.ats, s.board_id, g.posting_id, s.seq, s.poll_no, s.next_poll, cast(g.a as varchar) as a, cast(g.b as varchar) as b from green g join seqs s on s.poll_no = g.poll_no and s.ats = 'greenhouse'
+ union all select s.ats, s.board_id, l.posting_id, s.seq, s.poll_no, s.next_poll, l.a, l.b from lever l join seqs s on s.poll_no = l.poll_no and s.ats = 'lever'),
+w as (select *, lag(seq) over k as before_seq, lead(seq) over k as after_seq, lag(a) over k as old_a, lag(b) over k as old_b from rows_ window k as (partition by ats, board_id, posting_id order by seq))
+select distinct * from (
+ select poll_no, posting_id, 'added' as change_kind from w where seq > 1 and (before_seq is null or before_seq < seq - 1)
+ union all select poll_no, posting_id, 'changed' from w where before_seq = seq - 1 and (coalesce(a != old_a, false) or coalesce(b != old_b, false))
+ union all select next_poll, posting_id, 'removed' from w where next_poll is not null and (after_seq is null or after_seq > seq + 1))""",
+}
