@@ -269,11 +269,11 @@ def cosine_topk(spark, sf):
     return e.join(F.broadcast(q)).select("vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 4).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(20)
 
 
-@query("select label, cast(i - 1 as int) as dim, round(avg(embedding[i]::double), 4) as mean, count(*) as n from embeddings, (select unnest(generate_series(1, 64)) as i) where i <= len(embedding) group by 1, 2")
+@query("select label, cast(i - 1 as int) as dim, round(avg(embedding[i]::double), 4) + 0.0::double as mean, count(*) as n from embeddings, (select unnest(generate_series(1, 64)) as i) where i <= len(embedding) group by 1, 2")
 def mean_vector_by_label(spark, sf):
     """Mean vectors by label, one row for each dimension."""
     e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
-    return e.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return e.groupBy("label", "dim").agg((F.round(F.avg(F.col("x").cast("double")), 4) + F.lit(0.0)).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 _REASON = """case when lower(location) like '%united states%' or lower(location) like '%singapore%' then 'region' when years_required > 8 then 'years'
