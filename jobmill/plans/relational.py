@@ -96,8 +96,8 @@ def month_stats(spark, sf):
     """Exploded arrays counted, shares against a threshold, top 15 with ties by name."""
     jobs = table(spark, sf, "all_jobs")
     s = jobs.select("job_id", F.explode("required_skills").alias("raw")).select("job_id", F.trim(F.lower("raw")).alias("skill")).where("skill != ''").distinct()
-    total = jobs.agg(F.count_distinct("job_id").alias("jobs"))
-    c = s.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))  # one row
+    total = jobs.agg(F.count_distinct("job_id").alias("jobs")).scalar()
+    c = s.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).withColumn("jobs", total)
     return c.select("skill", "n", F.round(F.col("n") / F.col("jobs"), 6).alias("share"), (F.col("n") >= 0.05 * F.col("jobs")).alias("alert")).orderBy(F.desc("n"), "skill").limit(15)
 
 
@@ -265,8 +265,8 @@ select vec_id, label, cos from s order by cos desc, vec_id limit 20""")
 def cosine_topk(spark, sf):
     """The nearest vectors to one query vector."""
     e = table(spark, sf, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 4).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(20)
+    q = e.orderBy("vec_id").limit(1).select("embedding").scalar()
+    return e.withColumn("q", q).select("vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 4).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(20)
 
 
 @query("select label, cast(i - 1 as int) as dim, round(avg(embedding[i]::double), 4) + 0.0::double as mean, count(*) as n from embeddings, (select unnest(generate_series(1, 64)) as i) where i <= len(embedding) group by 1, 2")
