@@ -24,6 +24,7 @@ from jobmill.operators.skew import join_counted
 from jobmill.session import cut
 
 BANDS, ROWS = 40, 4  #: MinHash bands and the hashes in each
+TRAIN_BLOCKS, BLOCK_SIZE = 20_000, 100  #: blocks that labelled pairs are taken from, and their greatest size
 TRAIN_PAIRS = 20_000  #: the most labelled pairs that the classifier is fitted and calibrated on
 LEAST_LABELS = 30  #: with fewer of either label, the fixed weights stand
 MATCH = 0.5  #: probability from which a pair is a match
@@ -296,6 +297,21 @@ def train(labelled: DataFrame) -> np.ndarray:
     return np.concatenate([[shift + scale * w[0]], scale * w[1:]])
 
 
+def _labelled(records: DataFrame) -> DataFrame:
+    """Weakly labelled pairs of records with named cities: 1 if the cities are the same.
+
+    They come from a bounded number of blocks, the first by hash, each of at most BLOCK_SIZE records, so that the
+    labels cost the same whatever the size of the table.
+    """
+    named = records.where("city is not null")
+    blocks = named.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, BLOCK_SIZE)).orderBy(F.xxhash64("block"), "block").limit(TRAIN_BLOCKS).select("block")
+    some = cut(named.join(blocks, "block", "left_semi"))
+    side = {s: some.select(*[F.col(c).alias(f"{s}_{c}") for c in records.columns]) for s in "ab"}
+    pairs = side["a"].join(side["b"], (F.col("a_block") == F.col("b_block")) & (F.col("a_exact_block") == F.col("b_exact_block")) & (F.col("a_site") != F.col("b_site")) & (F.col("a_job_id") < F.col("b_job_id")))
+    label = (F.col("a_city") == F.col("b_city")).cast("int")
+    return pairs.withColumns(_features()).select(*FEATURES, label.alias("label"), F.xxhash64("a_job_id", "b_job_id").alias("order"))
+
+
 def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
     """(job_id_a, job_id_b, confidence) of records of different sites that are one opening, job_id_a < job_id_b.
 
@@ -305,7 +321,8 @@ def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
     A pair agrees on company, role, seniority and team. Named cities must be the same, and where a name was only
     nearly the same, the other evidence must bear it out; a record whose place is missing or wider takes the city of the likeliest
     record it may belong to (probability MATCH or more, countries agreeing), and pairs that stay without a city match on probability alone.
-    Each pair of records is compared once, in blocks of one company, role, seniority and team.
+    Records with a city are joined on company, role, seniority, team and city, those without on the first four;
+    each pair is compared once, and no pair with different cities is ever formed.
     """
     fields = ["company", "role", "site", "location", "posted_at", "salary_min_lpa", "years_required", "role_level"]
     once = df.where("job_id is not null").select("job_id", *fields, F.coalesce(authoritative, F.lit(False)).alias("own")).groupBy("job_id").agg(*[F.max(c).alias(c) for c in (*fields, "own")])
@@ -330,16 +347,22 @@ def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
         named.select("job_id", "site", F.xxhash64("firm_name", "post_name", "team_name").alias("block"), F.concat_ws("\x1f", "firm_name", "post_name", "team_name").alias("exact_block"),
                      (F.col("firm_slips") + F.col("post_slips") + F.col("team_slips")).alias("slips"), "city", "country", "posted", "pay", "years", "level")
     )
-    sides = [records.select("block", *[F.col(c).alias(f"{s}_{c}") for c in records.columns if c != "block"]) for s in "ab"]
+    weights = train(_labelled(records))
+    side = {s: records.select(*[F.col(c).alias(f"{s}_{c}") for c in records.columns]) for s in "ab"}
+    same_block = (F.col("a_block") == F.col("b_block")) & (F.col("a_exact_block") == F.col("b_exact_block"))
+    other_site = F.col("a_site") != F.col("b_site")
+    named_pairs = side["a"].join(side["b"], same_block & other_site & (F.col("a_city") == F.col("b_city")) & (F.col("a_job_id") < F.col("b_job_id")))
     fit = F.coalesce(F.col("a_country") == F.col("b_country"), F.lit(True))
-    pairs = sides[0].join(sides[1], "block").where((F.col("a_exact_block") == F.col("b_exact_block")) & (F.col("a_job_id") < F.col("b_job_id")) & (F.col("a_site") != F.col("b_site")))
-    pairs = cut(pairs.withColumns(_features()).select("a_job_id", "b_job_id", "a_city", "b_city", fit.alias("fit"), *FEATURES))
-    both = pairs.where("a_city is not null and b_city is not null")
-    weights = train(both.select(*FEATURES, (F.col("a_city") == F.col("b_city")).cast("int").alias("label"), F.xxhash64("a_job_id", "b_job_id").alias("order")))
+    later = F.col("b_city").isNotNull() | (F.col("a_job_id") < F.col("b_job_id"))
+    open_pairs = side["a"].where("a_city is null").join(side["b"], same_block & other_site & fit & later)
+    turned = F.col("a_job_id") > F.col("b_job_id")
+    swapped = {f"{s}_{c}": F.when(turned, F.col(f"{o}_{c}")).otherwise(F.col(f"{s}_{c}")) for s, o in ("ab", "ba") for c in records.columns}
+    pairs = named_pairs.unionByName(open_pairs.select(*[c.alias(n) for n, c in swapped.items()]))
+    pairs = cut(pairs.withColumns(_features()).select("a_job_id", "b_job_id", "a_city", "b_city", *FEATURES))
     score = F.lit(float(weights[0]))
     for name, w in zip(FEATURES, weights[1:]):
         score = score + F.col(name) * float(w)
-    scored = pairs.where("fit and (a_city is null or b_city is null or a_city = b_city)").withColumn("p", 1 / (1 + F.exp(-score)))
+    scored = pairs.withColumn("p", 1 / (1 + F.exp(-score)))
     one_named = scored.where("(a_city is null) != (b_city is null)")
     votes = one_named.select(F.when(F.col("a_city").isNull(), F.col("a_job_id")).otherwise(F.col("b_job_id")).alias("job_id"), F.coalesce("a_city", "b_city").alias("city"), "p")
     homes = votes.groupBy("job_id").agg(F.max(F.struct("p", "city")).alias("top")).where(F.col("top.p") >= MATCH).select("job_id", F.col("top.city").alias("city"))
