@@ -76,22 +76,44 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int], group: list[str
     return exploded.select(*group, F.col("__p").alias("percent"), F.col(value).alias("value"))
 
 
+def _with_bigrams(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Adds `name`: the pairs of neighbouring characters of a text, the n-th of a kind told apart by its number."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    nth = F.transform("__pairs", lambda p, i: F.concat(p, F.size(F.filter(F.slice("__pairs", F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+    return df.withColumn("__pairs", pairs).withColumn(name, nth).drop("__pairs")
+
+
 def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, ratio: float = 0.9) -> DataFrame:
-    """`left` rows with the first `right` row (`match`, its `ratio`) of equal key whose title is similar enough.
+    """`left` rows with the most similar `right` title (`match`, its `ratio`) of equal key, where it is similar enough.
 
-    The measure is the share of matching blocks (2 * matched / total length). Distinct (key, title) pairs are
-    compared only within a key, and only where the lengths allow the ratio.
+    The measure is the share of matching blocks (2 * matched / total length; ties: the greater title in binary
+    order). Distinct titles only. With at most 1 - ratio of the characters unmatched there are at most so many blocks
+    plus one, so two titles share at least (1.5 * ratio - 1) * total - 1 pairs of neighbouring characters; so only
+    titles that share one of their rarest pairs are compared (prefix filter, exact), never all of a key.
     """
 
     @F.pandas_udf("double")
     def measure(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-    l = left.select(key, F.col(title).alias("__l")).dropna().distinct()  # noqa: E741
-    r = right.select(key, F.col(title).alias("__r")).dropna().distinct()
+        out = []
+        for x, y in zip(a, b):
+            m = difflib.SequenceMatcher(None, x, y)
+            out.append(m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    sides = [df.select(key, F.col(title).alias("__t")).dropna().distinct().withColumn("__side", F.lit(n)) for n, df in enumerate((left, right))]
+    grams = _with_bigrams(sides[0].unionByName(sides[1]), "__t", "__gs").select(key, "__t", "__side", F.explode("__gs").alias("__g"))
+    rarity = grams.groupBy(key, "__g").agg(F.count(F.lit(1)).alias("__df"))
+    ordered = grams.join(rarity, [key, "__g"]).groupBy(key, "__t", "__side").agg(F.sort_array(F.collect_list(F.struct("__df", "__g"))).alias("__gs"))
+    share = 1.5 * ratio - 1
+    shortest = F.length("__t") * (1 + ratio / (2 - ratio))  # with the shortest partner that allows the ratio
+    needed = F.greatest(F.floor(shortest * share) - 1, F.lit(0))
+    prefix = F.greatest(F.size("__gs") - needed + 1, F.lit(1)).cast("int")
+    cut = ordered.select(key, "__t", "__side", F.explode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__g"))
+    l = cut.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"))  # noqa: E741
+    r = cut.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"))
     x, y = F.length("__l"), F.length("__r")
     possible = 2 * F.least(x, y) >= ratio * (x + y)
-    scored = l.join(r, key).where(possible).withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)
+    scored = l.join(r, [key, "__g"]).where(possible).select(key, "__l", "__r").distinct().withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)
     best = scored.groupBy(key, "__l").agg(F.max(F.struct("ratio", F.col("__r").alias("match"))).alias("b"))
     return best.select(key, F.col("__l").alias(title), F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio"))
 

@@ -40,6 +40,24 @@ def test_similar_titles(spark):
     assert [(r.t, r.match) for r in O.similar_titles(left, right, "c", "t").collect()] == [("data engineer", "data engineers")]
 
 
+def test_similar_titles_against_all_pairs(spark):
+    import difflib
+    import random
+
+    rnd = random.Random(7)
+    base = ["senior data engineer", "data engineer, north", "risk modeller", "ab", "a", "aaaaaaaa"]
+    typo = lambda t: "".join(ch if rnd.random() > 0.07 else rnd.choice("xyz ") for ch in t)
+    left, right = ({("k", typo(rnd.choice(base))) for _ in range(150)} for _ in range(2))
+    want = {}
+    for _, a in left:
+        best = max(((difflib.SequenceMatcher(None, a, b).ratio(), b) for _, b in right), default=(0, ""))
+        if best[0] >= 0.9:
+            want[a] = best[1]
+    frames = [spark.createDataFrame(sorted(x), "c string, t string") for x in (left, right)]
+    assert {r.t: r.match for r in O.similar_titles(*frames, "c", "t").collect()} == want
+    assert O.similar_titles(frames[0].limit(0), frames[1], "c", "t").count() == 0
+
+
 def test_set_cover_against_all_subsets(spark):
     from itertools import combinations
 
