@@ -121,3 +121,15 @@ def test_entry_and_registry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_strategies(spark):
+    from jobmill.plans import upkeep
+
+    upkeep.STRATEGIES.clear()
+    upkeep.register_strategy("a", lambda d: d.select("k", F.lit("by a").alias("v")))
+    upkeep.register_strategy("b", lambda d: d.select("k", F.lit("by b").alias("v")))
+    with pytest.raises(ValueError):
+        upkeep.register_strategy("a", lambda d: d)
+    df = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "k int, m string")
+    assert rows(upkeep.route(df, F.col("m"), "b")) == [(1, "by a"), (2, "by b"), (3, "by b")]
