@@ -48,3 +48,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialises `df` in the shared checkpoint folder, so that it is computed once and survives a lost executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` hashed by `columns` into enough partitions for every core, for steps whose work isn't in their bytes.
+
+    Adaptive execution sizes partitions by bytes and would give a few long tasks; an explicit number it leaves alone.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *columns)
