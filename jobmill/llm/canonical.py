@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from jobmill.session import cut
+from jobmill.session import cut, spread
 
 SIMILARITY = 0.3  #: Jaccard of gram sets from which a pair is a candidate
 ALPHABET = 256  #: characters outside a-z, 0-9 and a few signs share so many places in the grams
@@ -178,7 +178,7 @@ def similar_names(left: DataFrame, right: DataFrame, similarity: float = SIMILAR
     single = cut(both.select("side", "name", F.explode("gram").alias("gram")))
     rarity = F.broadcast(single.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     ordered = (
-        single.join(rarity, "gram")
+        spread(single.join(rarity, "gram"), "side", "name")
         .groupBy("side", "name")
         .agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
         .select("side", "name", F.transform("g", lambda x: x["gram"]).alias("grams"), F.size("g").alias("size"))
@@ -189,14 +189,8 @@ def similar_names(left: DataFrame, right: DataFrame, similarity: float = SIMILAR
     needed = F.ceil((x + y) * F.lit(similarity / (1 + similarity)))
     near = (y >= _least(x, similarity)) & (x >= _least(y, similarity)) & (1 + F.least(x - F.col("left_at"), y - F.col("right_at")) - 1 >= needed)
     shared = F.size(F.array_intersect("left_grams", "right_grams"))
-    return (
-        a.join(b, "gram")
-        .where(near)
-        .withColumn("jaccard", shared / (x + y - shared))
-        .where(F.col("jaccard") >= similarity)
-        .select("left_name", "right_name", "jaccard")
-        .distinct()
-    )
+    alike = a.join(b, "gram").where(near).withColumn("jaccard", shared / (x + y - shared)).where(F.col("jaccard") >= similarity)
+    return spread(alike.select("left_name", "right_name", "jaccard"), "left_name").distinct()
 
 
 def canonical_values(values: DataFrame, value: str, entries: DataFrame, entry: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from jobmill.llm.canonical import edits, plain
 from jobmill.operators.skew import join_counted
-from jobmill.session import cut
+from jobmill.session import cut, spread
 
 BANDS, ROWS = 40, 4  #: MinHash bands and the hashes in each
 TRAIN_BLOCKS, BLOCK_SIZE = 20_000, 100  #: blocks that labelled pairs are taken from, and their greatest size
@@ -194,9 +194,9 @@ def _banded(df: DataFrame) -> DataFrame:
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of a form of `left` and an `other` of `right` that share a MinHash band and differ by a few slips."""
     rest = [c for c in right.columns if c != "form"]
-    pairs = _banded(left).join(_banded(right).withColumnRenamed("form", "other"), ["band", "hash"])
+    pairs = spread(_banded(left), "band", "hash").join(spread(_banded(right).withColumnRenamed("form", "other"), "band", "hash"), ["band", "hash"])
     close = pairs.where(F.levenshtein("form", "other", 4) >= 0)  # two swaps of neighbours are four plain edits
-    return close.select(*left.columns, "other", *rest).distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
+    return spread(close.select(*left.columns, "other", *rest), "form").distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 
 
 def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
