@@ -161,6 +161,10 @@ def _distance(reading: pd.Series, entry: pd.Series) -> pd.Series:
     return pd.Series([distance(a, b) for a, b in zip(reading, entry)], dtype="int32")
 
 
+#: Otherwise its filter is pushed below the distinct step and every pair is measured once for each gram it shares.
+_distance = _distance.asNondeterministic()
+
+
 def _least(size: Column, similarity: float) -> Column:
     return F.ceil(size * F.lit(similarity))
 

@@ -187,6 +187,10 @@ def _slips(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+#: Otherwise its filter is pushed below the distinct step and every pair is measured once for each band it shares.
+_slips = _slips.asNondeterministic()
+
+
 def _banded(df: DataFrame) -> DataFrame:
     return df.withColumn("__sig", _signature("form")).select(*df.columns, F.posexplode("__sig").alias("band", "hash"))
 
