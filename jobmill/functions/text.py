@@ -62,3 +62,7 @@ def html_items(content: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def html_item(content: pd.Series) -> pd.Series:
     return content.map(plain_item, na_action="ignore")
+
+
+#: Otherwise a filter on the result runs the function a second time.
+html_item = html_item.asNondeterministic()

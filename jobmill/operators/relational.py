@@ -100,6 +100,7 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, rati
             out.append(m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0)
         return pd.Series(out, dtype="float64")
 
+    measure = measure.asNondeterministic()  # else its filter is pushed below the distinct step
     sides = [df.select(key, F.col(title).alias("__t")).dropna().distinct().withColumn("__side", F.lit(n)) for n, df in enumerate((left, right))]
     grams = _with_bigrams(sides[0].unionByName(sides[1]), "__t", "__gs").select(key, "__t", "__side", F.explode("__gs").alias("__g"))
     rarity = grams.groupBy(key, "__g").agg(F.count(F.lit(1)).alias("__df"))
