@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jobmill.session import cut
+
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Target with the source's rows: new keys inserted, the listed columns of known keys refreshed where the source's
@@ -61,19 +63,39 @@ def round_robin(df: DataFrame, stratum: str, order: Column, n: int) -> DataFrame
     return first.orderBy("turn", F.col(stratum).asc_nulls_first()).limit(n)
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over a group's rows up to each row in `order`; the order must be total.
+
+    A group may hold any share of the rows: they are range-partitioned by group and order, summed within the
+    partitions, and lifted by the totals of the partitions before (one row for each group and partition).
+    The partitioned rows are written once to the shared checkpoint folder, so that both uses see the same ranges.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed = cut(df.withColumn("__v", value).repartitionByRange(parts, *group, *order).withColumn("__p", F.spark_partition_id()))
+    inner = Window.partitionBy(*group, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    outer = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = placed.groupBy(*group, "__p").agg(F.sum("__v").alias("__t")).withColumn("__lift", F.coalesce(F.sum("__t").over(outer), F.lit(0)))
+    keys = [F.col(f"__k_{c}").eqNullSafe(F.col(c)) for c in (*group, "__p")]
+    renamed = lifts.select(*[F.col(c).alias(f"__k_{c}") for c in (*group, "__p")], "__lift")
+    local = placed.withColumn("__here", F.sum("__v").over(inner))
+    return local.join(renamed, reduce(lambda x, y: x & y, keys)).withColumn(name, F.col("__here") + F.col("__lift")).select(*df.columns, name)
+
+
 def nearest_rank(df: DataFrame, value: str, percents: list[int], group: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles (the value at place ceil(p * n / 100), at least the first); nulls are left out.
 
-    Ranks come from counts of distinct values, so that no group's values meet in one row.
+    Ranks come from running totals of the counts of distinct values, so that no group's values meet in one task.
     """
     group = group or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    upto = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumns({"__hi": upto, "__all": F.sum("__n").over(w)}).withColumn("__lo", F.col("__hi") - F.col("__n"))
+    whole = counts.groupBy(*[F.col(c).alias(f"__w_{c}") for c in group]).agg(F.sum("__n").alias("__all"))
+    upto = running_total(counts, group, [value], F.col("__n"), "__hi")
+    same = [F.col(f"__w_{c}").eqNullSafe(F.col(c)) for c in group]
+    ranked = upto.join(whole, reduce(lambda x, y: x & y, same)) if group else upto.withColumn("__all", whole.scalar())
     place = F.greatest(F.ceil(F.col("__p") * F.col("__all") / 100.0), F.lit(1))
-    exploded = ranked.withColumn("__p", F.explode(F.array(*[F.lit(p) for p in percents]))).where((F.col("__lo") < place) & (place <= F.col("__hi")))
-    return exploded.select(*group, F.col("__p").alias("percent"), F.col(value).alias("value"))
+    hit = ranked.withColumn("__p", F.explode(F.array(*[F.lit(p) for p in percents]))).where((F.col("__hi") - F.col("__n") < place) & (place <= F.col("__hi")))
+    return hit.select(*group, F.col("__p").alias("percent"), F.col(value).alias("value"))
 
 
 def _with_bigrams(df: DataFrame, c: str, name: str) -> DataFrame:
@@ -109,9 +131,9 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, rati
     shortest = F.length("__t") * (1 + ratio / (2 - ratio))  # with the shortest partner that allows the ratio
     needed = F.greatest(F.floor(shortest * share) - 1, F.lit(0))
     prefix = F.greatest(F.size("__gs") - needed + 1, F.lit(1)).cast("int")
-    cut = ordered.select(key, "__t", "__side", F.explode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__g"))
-    l = cut.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"))  # noqa: E741
-    r = cut.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"))
+    first = ordered.select(key, "__t", "__side", F.explode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__g"))
+    l = first.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"))  # noqa: E741
+    r = first.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"))
     x, y = F.length("__l"), F.length("__r")
     possible = 2 * F.least(x, y) >= ratio * (x + y)
     scored = l.join(r, [key, "__g"]).where(possible).select(key, "__l", "__r").distinct().withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)

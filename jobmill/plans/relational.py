@@ -195,8 +195,9 @@ with r as (select o_orderpriority as p, row_number() over (partition by o_orderp
 select p, round(corr(a::double, b::double), 4) as rho from r group by 1""")
 def ordinal_spearman(spark, sf):
     """Rank correlation on ordinal ranks."""
-    w = Window.partitionBy("o_orderpriority")
-    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("p"), F.row_number().over(w.orderBy("o_totalprice", "o_orderkey")).alias("a"), F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")).alias("b"))
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("p"), "o_totalprice", "o_orderdate", "o_orderkey")
+    r = O.running_total(o, ["p"], ["o_totalprice", "o_orderkey"], F.lit(1), "a")
+    r = O.running_total(r.select("p", "o_orderdate", "o_orderkey", "a"), ["p"], ["o_orderdate", "o_orderkey"], F.lit(1), "b")
     return r.groupBy("p").agg(F.round(F.corr("a", "b"), 4).alias("rho"))
 
 

@@ -34,6 +34,20 @@ def test_nearest_rank(spark):
     assert rows(O.nearest_rank(d, "v", [5, 50, 99], ["g"])) == [(g, p, v) for g in "ab" for p, v in ((5, 1.0), (50, 5.0), (99, 10.0))]
 
 
+def test_running_total_of_a_hot_group(spark):
+    d = spark.createDataFrame([("hot" if i % 10 else None, i) for i in range(500)], "g string, v int").repartition(5)
+    got = {(r.g, r.v): r.t for r in O.running_total(d, ["g"], ["v"], F.col("v"), "t").collect()}
+    assert len(got) == 500
+    for g in ("hot", None):
+        total = 0
+        for i in range(500):
+            if ("hot" if i % 10 else None) == g:
+                total += i
+                assert got[g, i] == total
+    assert O.running_total(d.limit(0), ["g"], ["v"], F.col("v"), "t").count() == 0
+    assert [r.value for r in O.nearest_rank(d, "v", [50]).collect()] == [249]
+
+
 def test_similar_titles(spark):
     left = spark.createDataFrame([("k", "data engineer"), ("k", "cook"), (None, "x")], "c string, t string")
     right = spark.createDataFrame([("k", "data engineers"), ("k", "data engin"), ("o", "cook")], "c string, t string")
