@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +29,22 @@ def build(app: str = "jobmill", master: str | None = None, **conf: str) -> Spark
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, once for each context; needless but harmless with `--py-files`."""
+    context, root = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_jobmill_shipped", False) or not root.is_dir():
+        return
+    archive = os.path.join(context._temp_dir, "jobmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._jobmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
