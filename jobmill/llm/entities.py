@@ -24,6 +24,7 @@ from jobmill.operators.skew import join_counted
 from jobmill.session import cut, spread
 
 BANDS, ROWS = 40, 4  #: MinHash bands and the hashes in each
+MOST_RUNS = 200  #: runs of words of one company name
 TRAIN_BLOCKS, BLOCK_SIZE = 20_000, 100  #: blocks that labelled pairs are taken from, and their greatest size
 TRAIN_PAIRS = 20_000  #: the most labelled pairs that the classifier is fitted and calibrated on
 LEAST_LABELS = 30  #: with fewer of either label, the fixed weights stand
@@ -31,7 +32,7 @@ MATCH = 0.5  #: probability from which a pair is a match
 SAME_PLACE = 50.0  #: how many times likelier one opening is where both cities are named and the same
 
 # Legal forms and tails of domain names in company names.
-LEGAL = set("inc llp llc ltd limited private pvt gmbh ag sa corp corporation co company plc bv kg kgaa se srl spa oy ab as nv pty pte sas sarl".split())
+LEGAL = set("inc llp llc ltd limited private pvt gmbh ag sa corp corporation co company plc bv kg kgaa se srl spa oy ab as nv pty pte sas sarl group holding holdings".split())
 DOMAIN = re.compile(r"\.(?:example|com|net|org|io|ai|co|dev|app|jobs)(?:\.[a-z]{2})?$")
 
 # How seniority is written.
@@ -77,13 +78,13 @@ COUNTRY_NAMES = {_fold(n): c for n, c in COUNTRIES.items()}
 
 
 def company_words(name: str | None) -> list[str]:
-    """The words of a company's name without brackets, legal forms and domain endings."""
+    """The words of a company's name without brackets, article, legal forms and domain endings."""
     text = re.sub(r"\([^)]*\)?", " ", plain(name or "").strip())
     text = re.sub(r"\b(\w)\.(?=\w\.)", r"\1", DOMAIN.sub("", text))
     words = [w for w in re.findall(r"\w+", text) if w != "and"]
     while len(words) > 1 and words[-1] in LEGAL:
         words.pop()
-    return words
+    return words[1:] if len(words) > 2 and words[0] == "the" else words
 
 
 def role_parts(title: str | None) -> tuple[str, str]:
@@ -104,6 +105,8 @@ def role_parts(title: str | None) -> tuple[str, str]:
         level, role = SENIORITY[role[0]], role[1:]
     elif role and role[-1] in SENIORITY and len(role) > 1:
         level, role = SENIORITY[role[-1]], role[:-1]
+    elif len(role) > 1 and not level and (found := _near_short(role[0])):
+        level, role = found, role[1:]
     out: list[str] = []
     for w in role:
         if out and (out[-1], w) in TITLE_PAIRS:
@@ -113,7 +116,16 @@ def role_parts(title: str | None) -> tuple[str, str]:
     return " ".join([level, *out] if level else out), " ".join(rest)
 
 
+def _near_short(word: str) -> str | None:
+    """The level whose short form a word of three or more letters misses by one slip."""
+    if len(word) < 3 or word in TITLE_WORDS:
+        return None
+    return next((k for w, k in SENIORITY.items() if len(w) >= 3 and w not in SENIORITY.values() and edits(word, w, 1) <= 1), None)
+
+
 def _near_level(word: str) -> str | None:
+    if (short := _near_short(word)) is not None:
+        return short
     return next((k for k in sorted(set(SENIORITY.values())) if len(word) >= 3 and edits(word, k, 2) <= (1 if len(k) < 7 else 2)), None)
 
 
@@ -206,7 +218,8 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
 def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
     """(form, name, slips, n): the name that each typed form stands for.
 
-    typed: `form`, distinct, `n` (rows with it) and `heads` (array: the form and what it is shortened to); listed:
+    typed: `form`, distinct, `n` (rows with it), `heads` (array: the form and what it is shortened to) and `parts`
+    (array: runs of its words, under which a listed form may stand within it, at the cost of one slip); listed:
     `form`, `name`, `weight`, one row for each form. A listed form stands for its own name with 0 slips; other forms
     are blocked with the listed ones by MinHash bands, and the verified pair with the fewest slips wins (then the
     heavier name, then the first in binary order). Forms near nothing listed are held against each other: a form
@@ -214,9 +227,11 @@ def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
     the greater in binary order) takes that. Runs on distinct forms only, the blocking on those not listed.
     """
     known = typed.join(listed.select("form", "name"), "form", "left")
-    odd = cut(known.where("name is null and form != ''").select("form", "n", "heads"))
-    near = _near(odd.select("form"), listed.where("form != ''"))
-    best = near.groupBy("form").agg(F.min(F.struct("slips", (-F.col("weight")).alias("light"), "name")).alias("best"))
+    odd = cut(known.where("name is null and form != ''").select("form", "n", "heads", "parts"))
+    near = _near(odd.select("form"), listed.where("form != ''")).select("form", "slips", F.lit(0).alias("size"), "weight", "name")
+    within = odd.select("form", F.explode("parts").alias("part")).join(listed.withColumnRenamed("form", "part"), "part")
+    near = near.unionByName(within.select("form", F.lit(1).alias("slips"), F.length("part").alias("size"), "weight", "name"))
+    best = near.groupBy("form").agg(F.min(F.struct("slips", (-F.col("size")).alias("short"), (-F.col("weight")).alias("light"), "name")).alias("best"))
     linked = cut(odd.join(best, "form", "left"))
     alone = linked.where("best is null").select("form", "n", "heads")
     whole = alone.select(F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
@@ -341,10 +356,14 @@ def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
     own = parsed.where("own")
     heads = F.transform(F.sequence(F.least(F.lit(2), F.size("words")), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), ""))
     firms = _listed(own.select("firm", F.explode(heads).alias("form")), F.col("form"), F.col("firm"))
-    named = parsed.withColumn("firm_heads", heads).drop("words", "own")
+    last = F.size("words") - 1
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(2), F.greatest(last - i + 2, F.lit(2))), lambda n: F.array_join(F.slice("words", i, n), ""))))
+    named = parsed.withColumns({"firm_heads": heads, "firm_parts": F.when(last >= 2, F.slice(runs, 1, MOST_RUNS)).otherwise(F.array().cast("array<string>"))}).drop("words", "own")
     for column, listed in {"firm": firms, "post": _listed(own, F.col("post"), F.col("post")), "team": _listed(own.where("team != ''"), F.col("team"), F.col("team"))}.items():
-        shorter = F.min("firm_heads") if column == "firm" else F.array(F.first(column))
-        typed = named.groupBy(F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"))
+        firm = column == "firm"
+        shorter = F.min("firm_heads") if firm else F.array(F.first(column))
+        runs = F.min("firm_parts") if firm else F.array().cast("array<string>")
+        typed = named.groupBy(F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"), runs.alias("parts"))
         dim = cut(link_forms(typed, listed)).select(F.col("form").alias(column), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
         named = join_counted(named, dim, column, "n")
     records = cut(

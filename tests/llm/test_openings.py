@@ -7,7 +7,7 @@ from jobmill.llm import entities as e
 from jobmill.llm import queries as q
 
 
-@pytest.mark.parametrize("name, words", [("Acme Foods Pvt. Ltd.", "acme foods"), ("ACME FOODS S.A.", "acme foods"), ("Acme Foods (formerly X Works)", "acme foods"), ("acmefoods.example", "acmefoods"), ("Acme Steel & Alloys AG", "acme steel alloys"), ("", ""), (None, "")])
+@pytest.mark.parametrize("name, words", [("Acme Foods Pvt. Ltd.", "acme foods"), ("ACME FOODS S.A.", "acme foods"), ("Acme Foods (formerly X Works)", "acme foods"), ("acmefoods.example", "acmefoods"), ("The Acme Foods Group", "acme foods"), ("Acme Steel & Alloys AG", "acme steel alloys"), ("", ""), (None, "")])
 def test_company(name, words):
     assert " ".join(e.company_words(name)) == words
 
@@ -16,7 +16,7 @@ def test_company(name, words):
     "title, parts",
     [
         ("Senior Data Engineer, Night Owl", ("senior data engineer", "night owl")), ("Hiring: Data Eng. (Sr.) - Night Owl #REQ", ("senior data engineer", "night owl")), ("DATA ENGINEER, JNR", ("junior data engineer", "")),
-        ("Front End Engr | Hybrid", ("frontend engineer", "")), ("UX Researcher 3-6 Yrs", ("ux researcher", "")), ("ML Engineer, Siaff", ("staff machine learning engineer", "")), (None, ("", "")), ("", ("", "")),
+        ("Front End Engr | Hybrid", ("frontend engineer", "")), ("UX Researcher 3-6 Yrs", ("ux researcher", "")), ("Priinc. Cook", ("principal cook", "")), ("Cook (Jnn), Night Owl", ("junior cook", "night owl")), ("SRE", ("site reliability engineer", "")), ("ML Engineer, Siaff", ("staff machine learning engineer", "")), (None, ("", "")), ("", ("", "")),
     ],
 )
 def test_role(title, parts):
@@ -42,16 +42,16 @@ def test_pairs(spark):
     rows = [
         ("a1", "Acme Foods Ltd", "Senior Data Engineer", "ats:x", "Pune, India", 1), ("b1", "acmefoods.example", "Sr Data Engr", "naukri", "Poona", 2), ("c1", "Acme Fodos", "Data Engineer, Snr", "indeed", None, 2),
         ("a2", "Acme Foods Ltd", "Senior Data Engineer", "ats:x", "Paris, France", 20), ("b2", "Acme Foods", "Senior Data Engineer", "indeed", "Paris 9e", 21), ("a3", "Acme Foods Ltd", "Data Engineer", "ats:x", "Pune, India", 1),
-        ("a1", "Acme Foods Ltd", "Senior Data Engineer", "ats:x", "Pune, India", 1), (None, "Acme Foods", "Senior Data Engineer", "indeed", "Pune", 1), ("z1", None, "Senior Data Engineer", "indeed", "Pune", 1), ("z2", "Acme Foods", None, "indeed", "Pune", 1), ("d1", "Acme Foods", "Senior Data Engineer", None, "Pune", 1),
+        ("a1", "Acme Foods Ltd", "Senior Data Engineer", "ats:x", "Pune, India", 1), (None, "Acme Foods", "Senior Data Engineer", "indeed", "Pune", 1), ("z1", None, "Senior Data Engineer", "indeed", "Pune", 1), ("z2", "Acme Foods", None, "indeed", "Pune", 1), ("d1", "Acme Foods", "Senior Data Engineer", None, "Pune", 1), ("e1", "Jobs at Acme Foods via Hirely", "Senior Data Engineer", "linkedin", "Pune", 2),
     ]
     df = jobs(spark, rows)
     got = {(r.job_id_a, r.job_id_b) for r in e.match_openings(df, F.col("site").startswith("ats:")).collect()}
-    assert got == {("a1", "b1"), ("a1", "c1"), ("b1", "c1"), ("a2", "b2")}
+    assert got == {("a1", "b1"), ("a1", "c1"), ("b1", "c1"), ("a2", "b2"), ("a1", "e1"), ("b1", "e1"), ("c1", "e1")}
     assert e.match_openings(df.limit(0), F.col("site").startswith("ats:")).count() == 0
 
 
 def test_link_forms_prefers_what_is_listed(spark):
-    typed = spark.createDataFrame([(f, 1, [f]) for f in ("brahixjorsab", "brahnxjorsab", "irkzorharqui", "irkzorhavqui", "nothingnear", "")], "form string, n long, heads array<string>")
+    typed = spark.createDataFrame([(f, 1, [f], []) for f in ("brahixjorsab", "brahnxjorsab", "irkzorharqui", "irkzorhavqui", "nothingnear", "")], "form string, n long, heads array<string>, parts array<string>")
     listed = spark.createDataFrame([("brahixjorsab", "brahixjorsabtravel", 3)], "form string, name string, weight long")
     got = {r.form: (r.name, r.slips) for r in e.link_forms(typed, listed).collect()}
     assert got["brahixjorsab"] == ("brahixjorsabtravel", 0) and got["brahnxjorsab"] == ("brahixjorsabtravel", 1)
