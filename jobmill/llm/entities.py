@@ -215,14 +215,15 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     return spread(close.select(*left.columns, "other", *rest), "form").distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 
 
-def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
+def link_forms(typed: DataFrame, listed: DataFrame, among: bool = True) -> DataFrame:
     """(form, name, slips, n): the name that each typed form stands for.
 
     typed: `form`, distinct, `n` (rows with it), `heads` (array: the form and what it is shortened to) and `parts`
     (array: runs of its words, under which a listed form may stand within it, at the cost of one slip); listed:
     `form`, `name`, `weight`, one row for each form. A listed form stands for its own name with 0 slips; other forms
     are blocked with the listed ones by MinHash bands, and the verified pair with the fewest slips wins (then the
-    heavier name, then the first in binary order). Forms near nothing listed are held against each other: a form
+    heavier name, then the first in binary order). Forms near nothing listed are held against each other (`among`; else they
+    keep themselves): a form
     that is the head of a longer one takes the longest, and one within a few slips of a more frequent one (ties:
     the greater in binary order) takes that. Runs on distinct forms only, the blocking on those not listed.
     """
@@ -234,20 +235,22 @@ def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
     best = near.groupBy("form").agg(F.min(F.struct("slips", (-F.col("size")).alias("short"), (-F.col("weight")).alias("light"), "name")).alias("best"))
     linked = cut(odd.join(best, "form", "left"))
     alone = linked.where("best is null").select("form", "n", "heads")
+    settled = (
+        known.where("name is not null or form = ''")
+        .select("form", F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
+        .unionByName(linked.where("best is not null").select("form", F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
+    )
+    if not among:
+        return settled.unionByName(alone.select("form", F.col("form").alias("name"), F.lit(0).alias("slips"), "n"))
     whole = alone.select(F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
     whole = whole.groupBy("form").agg(F.max(F.struct(F.length("name").alias("size"), "weight", "name")).alias("top")).select("form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
     pairs = _near(alone.select("form"), whole).where("slips > 0 and form != name")
     other = pairs.groupBy("form").agg(F.max(F.struct("weight", "name", "slips")).alias("other"))
-    among = alone.join(whole, "form", "left").join(other, "form", "left")
+    held = alone.join(whole, "form", "left").join(other, "form", "left")
     moves = F.struct(F.col("other.weight"), F.col("other.name")) > F.struct(F.col("weight"), F.col("name"))
     moves = F.coalesce(moves, F.lit(False))
-    among = among.select("form", F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
-    return (
-        known.where("name is not null or form = ''")
-        .select("form", F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
-        .unionByName(linked.where("best is not null").select("form", F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
-        .unionByName(among)
-    )
+    held = held.select("form", F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
+    return settled.unionByName(held)
 
 
 def _listed(rows: DataFrame, form: Column, name: Column) -> DataFrame:
@@ -364,7 +367,7 @@ def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
         shorter = F.min("firm_heads") if firm else F.array(F.first(column))
         runs = F.min("firm_parts") if firm else F.array().cast("array<string>")
         typed = named.groupBy(F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"), runs.alias("parts"))
-        dim = cut(link_forms(typed, listed)).select(F.col("form").alias(column), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
+        dim = cut(link_forms(typed, listed, among=firm)).select(F.col("form").alias(column), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
         named = join_counted(named, dim, column, "n")
     records = cut(
         named.select("job_id", "site", F.xxhash64("firm_name", "post_name", "team_name").alias("block"), F.concat_ws("\x1f", "firm_name", "post_name", "team_name").alias("exact_block"),
