@@ -11,6 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Java: a word; + and # belong to words. In scripts written without blanks each character is a word of its own.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}ー"
+WORD = rf"(?:[\p{{L}}\p{{M}}\p{{N}}+#&&[^{_UNSPACED}]]+|[\p{{L}}\p{{M}}\p{{N}}&&[{_UNSPACED}]])"
+
+
+def visible(c: Column) -> Column:
+    """The text without invisible characters (zero-width blanks, joiners, soft hyphens)."""
+    return F.regexp_replace(c, r"\p{Cf}", "")
+
+
 def rejects(predicate: Column) -> Column:
     """The predicate, with null as no rejection."""
     return F.coalesce(predicate, F.lit(False))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobmill.functions import rules as R
 from jobmill.operators import relational as O
-from jobmill.session import table
+from jobmill.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +32,51 @@ def once(spark: SparkSession, sf: str) -> DataFrame:
     return O.pick(jobs, ["job_id"], F.col("scraped_at").desc_nulls_last(), F.length(F.coalesce("jd_text", F.lit(""))).desc(), F.hash(*[c for c in jobs.columns if c != "job_id"]))
 
 
+def with_words(df: DataFrame, text: str) -> DataFrame:
+    """Adds `words` of a text (letters, marks and digits of any script, + and #) and `gaps`, what stands before, between and after them."""
+    return df.withColumns({"words": F.regexp_extract_all(text, F.lit(f"({R.WORD})"), 1), "gaps": F.split(text, R.WORD, -1)})
+
+
+FILTER = 1 << 20  #: places of the filter that runs are thinned by; more terms thin less, and the join after it is exact
+
+
+def wanted_runs(texts: DataFrame, terms: DataFrame, run: str, between: str | None = None) -> DataFrame:
+    """The runs of `words` in texts that may be a term: texts' columns without words and gaps, run (with the gaps as they are,
+    or `between`), before and after (the gaps around it) and place (from 1).
+
+    terms: `words`, `size` (how many) and their `run`. Whatever is a term's run is kept; others are thinned by a filter
+    of fixed size over first words and whole runs.
+    """
+    terms = terms.where("size > 0")
+    place = lambda c: F.crc32(F.encode(c, "utf-8")) % FILTER
+    sizes = sorted(r[0] for r in terms.select("size").distinct().collect())
+    firsts, wholes = bytearray(FILTER), bytearray(FILTER)
+    for bits, c in ((firsts, F.get("words", F.lit(0))), (wholes, F.col(run))):
+        for r in terms.select(place(c)).distinct().toLocalIterator():
+            bits[r[0]] = 1
+
+    @F.pandas_udf("array<struct<run:string,before:string,after:string,place:bigint>>")
+    def runs(words: pd.Series, gaps: pd.Series) -> pd.Series:
+        out, memo = [], {}
+        for w, g in zip(words, gaps):
+            found = []
+            for i, x in enumerate(w):
+                if x not in memo:
+                    memo[x] = firsts[zlib.crc32(x.encode()) % FILTER]
+                if memo[x]:
+                    for n in sizes:
+                        if i + n > len(w):
+                            break
+                        text = between.join(w[i : i + n]) if between is not None else x + "".join(g[k] + w[k] for k in range(i + 1, i + n))
+                        if wholes[zlib.crc32(text.encode()) % FILTER]:
+                            found.append({"run": text, "before": g[i], "after": g[i + n], "place": i + 1})
+            out.append(found)
+        return pd.Series(out)
+
+    rest = [c for c in texts.columns if c not in ("words", "gaps")]
+    return texts.withColumn("r", runs.asNondeterministic()("words", "gaps")).select(*rest, F.explode("r").alias("r")).select(*rest, "r.*")
+
+
 @query("""
 select r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as orders
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
@@ -555,12 +603,32 @@ def coverage_share(spark, sf):
 with a as (select distinct lower(trim(unnest(required_skills))) as token from all_jobs), s as (select distinct unnest([x for x in regexp_split_to_array(lower(text), '[^a-z0-9+#]+') if x != '']) as token from documents where text is not null)
 select token from a where regexp_matches(token, '^[a-z0-9]+$') and token not in (select token from s)""")
 def gap_terms(spark, sf):
-    """Terms that are asked for and shown nowhere."""
+    """Terms of one plain ASCII word that are asked for and shown nowhere; gap_terms_all has every term."""
     a = table(spark, sf, "all_jobs").select(F.explode("required_skills").alias("raw")).select(F.lower(F.trim("raw")).alias("token")).where(F.col("token").rlike("^[a-z0-9]+$")).distinct()
     s = table(spark, sf, "documents").where("text is not null").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9+#]+"))).alias("token")).distinct()
     return a.join(s, "token", "left_anti")
 
 
+@query()
+def gap_terms_all(spark, sf):
+    """Every term that is asked for and shown nowhere: its words, in whatever script, stand in no text as a run.
+
+    Signs between words don't count, + and # belong to words, and so does a dot before the first (.net isn't net);
+    invisible characters are left out. Terms without any word must stand in a text as they are.
+    """
+    a = table(spark, sf, "all_jobs").select(F.explode("required_skills").alias("raw")).select(F.lower(F.trim("raw")).alias("token")).where("token != ''").distinct()
+    a = with_words(a.withColumn("shape", R.visible(F.col("token"))), "shape")
+    dot = F.when(F.endswith(F.get("gaps", F.lit(0)), F.lit(".")), ".").otherwise("")
+    a = cut(a.select("token", "words", F.size("words").alias("size"), F.array_join("words", " ").alias("run"), F.concat(dot, F.array_join("words", " ")).alias("key")))
+    d = table(spark, sf, "documents").where("text is not null").select(R.visible(F.lower("text")).alias("text"))
+    runs = wanted_runs(with_words(d, "text").drop("text"), a, "run", " ")
+    keys = F.when(F.endswith("before", F.lit(".")), F.array("run", F.concat(F.lit("."), "run"))).otherwise(F.array("run"))
+    shown = runs.select(F.explode(keys).alias("key")).distinct()
+    signs = a.where("size = 0").select("token")
+    seen = d.join(F.broadcast(signs), F.contains(F.col("text"), R.visible(F.col("token")))).select("token").distinct()
+    return a.where("size > 0").join(shown, "key", "left_anti").select("token").unionByName(signs.join(seen, "token", "left_anti"))
+
+
 @query("""
 with p as (select p_partkey, p_brand, row_number() over (partition by p_brand order by p_partkey) as n, count(*) over (partition by p_brand) as size from part)
 select p_partkey, p_brand, case when n = 1 then 1.0::double when size > 1 then round(0.4 / (size - 1), 8)::double end as weight from p""")
