@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -77,6 +78,24 @@ def wanted_runs(texts: DataFrame, terms: DataFrame, run: str, between: str | Non
     return texts.withColumn("r", runs.asNondeterministic()("words", "gaps")).select(*rest, F.explode("r").alias("r")).select(*rest, "r.*")
 
 
+def term_places(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, term, place) of every single-word term of the registry in every text, once for each place (the word it begins at).
+
+    A term is found where its words stand with the same signs between them and at its edges; only at an edge that is a
+    word must another word not go on. Terms of signs alone are found wherever they stand, at the next word's place.
+    """
+    t = table(spark, sf, "skill_registry").select(F.lower(R.visible(F.trim("term"))).alias("term")).where(r"term != '' and not term rlike '(?U)\\s'").distinct()
+    t = cut(with_words(t, "term").select("term", "words", F.size("words").alias("size"), F.get("gaps", F.lit(0)).alias("lead"), F.get("gaps", F.size("words")).alias("trail"), F.regexp_extract("term", f"{R.WORD}(?:.*{R.WORD})?", 0).alias("run")))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", R.visible(F.lower("text")).alias("text"))
+    r = wanted_runs(with_words(d, "text").drop("text"), t, "run")
+    out = [r.join(t.where("size > 0"), "run").where(F.endswith("before", "lead") & F.startswith("after", "trail")).select("doc_id", "term", "place")]
+    signs = d.join(F.broadcast(t.where("size = 0").select("term")), F.contains(F.col("text"), F.col("term")))
+    pieces = F.split("text", F.concat(F.lit(r"\Q"), "term", F.lit(r"\E")), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: (F.regexp_count(F.array_join(F.slice("parts", F.lit(1), i), " "), F.lit(R.WORD)) + 1).cast("long"))
+    out.append(signs.withColumn("parts", pieces).select("doc_id", "term", F.explode(ends).alias("place")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("""
 select r_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as orders
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
@@ -367,13 +386,19 @@ with w as (select distinct doc_id, unnest([x for x in regexp_split_to_array(lowe
 t as (select distinct lower(term) as term from skill_registry where regexp_matches(term, '^[A-Za-z0-9]+$'))
 select term, count(*) as docs from w join t on word = term group by 1""")
 def boundary_term_hits(spark, sf):
-    """Single-word terms standing whole in texts: texts exploded to words, one equi join with the terms."""
+    """Terms of ASCII letters and digits standing whole in texts: texts exploded to words, one equi join with the terms; boundary_term_hits_all has every single-word term."""
     d = table(spark, sf, "documents").where("text is not null")
     w = d.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9+#]+"), lambda x: x != ""))).alias("word"))
     t = table(spark, sf, "skill_registry").where(F.col("term").rlike("^[A-Za-z0-9]+$")).select(F.lower("term").alias("term")).distinct()
     return w.join(t, F.col("word") == F.col("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
+@query()
+def boundary_term_hits_all(spark, sf):
+    """Every single-word term standing whole in texts, signs at and between its words included (C++, .NET, Node.js)."""
+    return term_places(spark, sf).groupBy("term").agg(F.count_distinct("doc_id").alias("docs"))
+
+
 @query("""
 with w as (select doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9+#]+') if x != ''] as words from documents where text is not null),
 g as (select distinct doc_id, unnest(list_distinct(list_concat([words[i] || words[i + 1] for i in generate_series(1, len(words) - 1)], [words[i] || words[i + 1] || words[i + 2] for i in generate_series(1, len(words) - 2)]))) as k from w),

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from jobmill.functions import rules as R
 from jobmill.functions.terms import norm
+from jobmill.plans.relational import term_places
 from jobmill.session import table
 
 QUERIES: dict = {}
@@ -145,12 +146,18 @@ with w as (select doc_id, unnest(words) as word, unnest(generate_series(1, len(w
 t as (select distinct lower(term) as term from skill_registry where regexp_matches(term, '^[A-Za-z0-9]+$'))
 select doc_id, word as term, min(place) as first_place, count(*) as times from w join t on word = term group by 1, 2""")
 def first_occurrence(spark, sf):
-    """Where each term first stands in a text."""
+    """Where each term of ASCII letters and digits first stands in a text; first_occurrence_all has every single-word term."""
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z0-9+#]+"), lambda x: x != "")).alias("p", "word"))
     t = table(spark, sf, "skill_registry").where(F.col("term").rlike("^[A-Za-z0-9]+$")).select(F.lower("term").alias("term")).distinct()
     return d.join(t, F.col("word") == F.col("term")).groupBy("doc_id", "term").agg((F.min("p") + 1).cast("long").alias("first_place"), F.count(F.lit(1)).alias("times"))
 
 
+@query()
+def first_occurrence_all(spark, sf):
+    """Where each single-word term first stands in a text, signs at and between its words included; places count words."""
+    return term_places(spark, sf).groupBy("doc_id", "term").agg(F.min("place").alias("first_place"), F.count(F.lit(1)).alias("times"))
+
+
 @query("""
 select 'job_id' as key, count(*) as repeated, cast(sum(n) as bigint) as rows from (select job_id, count(*) as n from all_jobs group by 1 having count(*) > 1)
 union all select 'poll_no', count(*), cast(coalesce(sum(n), 0) as bigint) from (select poll_no, count(*) as n from list_polls group by 1 having count(*) > 1)
