@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -331,12 +332,46 @@ def clamp_and_blend(spark, sf):
 with q as (select embedding as q from embeddings where vec_id = (select min(vec_id) from embeddings)), s as (select vec_id, label, round(list_dot_product(embedding::double[], q::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q::double[], q::double[]))), 4) as cos from embeddings, q)
 select vec_id, label, cos from s order by cos desc, vec_id limit 20""")
 def cosine_topk(spark, sf):
-    """The nearest vectors to one query vector."""
+    """The nearest vectors to one query vector; cosine_topk_all has all queries."""
     e = table(spark, sf, "embeddings")
     q = e.orderBy("vec_id").limit(1).select("embedding").scalar()
     return e.withColumn("q", q).select("vec_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 4).alias("cos")).orderBy(F.desc("cos"), "vec_id").limit(20)
 
 
+@query("""
+with s as (select q.vec_id as query_id, e.vec_id, e.label, round(list_dot_product(e.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 4) as cos from embeddings e, embeddings q where q.vec_id % 50 = 0)
+select query_id, vec_id, label, cos from s qualify row_number() over (partition by query_id order by cos desc, vec_id) <= 20""")
+def cosine_topk_all(spark, sf):
+    """The 20 nearest vectors to every vector whose id is divisible by 50, blocks of queries against blocks of all rows."""
+    e = table(spark, sf, "embeddings").where("vec_id is not null")
+
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        n = df.count() // 1000 + 1
+        rows = F.collect_list(F.struct("vec_id", "label", F.coalesce("embedding", F.array().cast("array<float>")).alias("v")))
+        return df.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("b")).agg(rows.alias(side)).drop("b")
+
+    def unit(rows) -> np.ndarray:
+        m = np.zeros((len(rows), max((len(r["v"]) for r in rows), default=0)))
+        for x, r in zip(m, rows):
+            x[: len(r["v"])] = r["v"]
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def nearest(frames):
+        for frame in frames:
+            for qs, es in zip(frame["q"], frame["e"]):
+                a, b = unit(qs), unit(es)
+                wide = min(a.shape[1], b.shape[1])
+                cos = np.round(a[:, :wide] @ b[:, :wide].T, 4) + 0.0
+                ids = np.array([r["vec_id"] for r in es])
+                for q, row in zip(qs, cos):
+                    top = np.lexsort((ids, -row))[:20]
+                    yield pd.DataFrame({"query_id": q["vec_id"], "vec_id": ids[top], "label": pd.array([es[k]["label"] for k in top], dtype="Int32"), "cos": row[top]})
+
+    near = blocks(e.where("vec_id % 50 = 0"), "q").crossJoin(blocks(e, "e")).mapInPandas(nearest, "query_id long, vec_id long, label int, cos double")
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "vec_id"))).where("n <= 20").drop("n")
+
+
 @query("select label, cast(i - 1 as int) as dim, round(avg(embedding[i]::double), 4) + 0.0::double as mean, count(*) as n from embeddings, (select unnest(generate_series(1, 64)) as i) where i <= len(embedding) group by 1, 2")
 def mean_vector_by_label(spark, sf):
     """Mean vectors by label, one row for each dimension."""
