@@ -62,7 +62,7 @@ def test_pieces():
 
 def test_best_fit():
     w = Windows(10, 2, 0)
-    assert [w.place(s) for s in (6, 7, 3, 4, 8, 1, 2)] == [0, 1, 1, 0, 2, 2, 3]
+    assert [w.place(s) for s in (6, 7, 3, 4, 8, 1, 2)] == [0, 1, 1, 0, 2, 2, 3] and w.closed == [1, 0]
 
 
 def test_containers(spark):
@@ -86,3 +86,17 @@ def test_documents_fill_their_containers(spark, sf):
     got = q.p8_packed(spark, sf).toPandas()
     used = (got.part_to - got.part_from).groupby(got.container).sum()
     assert used.max() <= 2048 and used.sum() / (2048 * len(used)) > 0.95
+
+
+def test_windows_that_take_one_item_are_never_merged(spark):
+    from jobmill.llm.packing import MERGED_AT_ONCE, merge_tasks
+
+    df = spark.range(1_000_000, numPartitions=8).selectExpr("id", "1100 as size")
+    got = pack(df, "id", "size", 2048, 64)
+    assert got.select("container").distinct().count() == 1_000_000 and got.agg({"part_to": "sum"}).first()[0] == 1_100_000_000
+    assert merge_tasks(8 * 64) == 1 and merge_tasks(MERGED_AT_ONCE * 3 + 1) == 4
+
+
+def test_only_empty_items(spark):
+    got = pack(spark.range(1000, numPartitions=3).selectExpr("id", "cast(null as int) as size"), "id", "size").collect()
+    assert len(got) == 1000 and len({r.container for r in got}) <= 3 and len({r.id for r in got}) == 1000
