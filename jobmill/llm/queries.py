@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmill.functions.text import squeeze
-from jobmill.llm.boilerplate import repeated_lines
+from jobmill.llm.boilerplate import repeated_lines, without_repeated_lines
 from jobmill.llm.canonical import canonical_values
 from jobmill.llm.entities import match_openings
 from jobmill.llm.packing import pack, token_counts
@@ -47,6 +47,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(F.col("document").alias("job_id"), "line_no")
 
 
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every advert's text without the lines that its company repeats; each different text of a job_id once."""
+    clean = without_repeated_lines(table(spark, sf_dir, "all_jobs").select("job_id", "company", "jd_text").distinct(), "company", "job_id", "jd_text")
+    return clean.select("job_id", "company", "clean_text").distinct()
+
+
+def p3_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a company repeats over at least 5 different texts on at least 2 days: republished adverts count once."""
+    cases = repeated_lines(table(spark, sf_dir, "all_jobs"), "company", "job_id", "jd_text", by_text=True, published="posted_at", least_days=2)
+    return cases.select(F.col("document").alias("job_id"), "line_no")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids (TESTDATA.md, problem 7)."""
     return encode_column(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -62,5 +74,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_clean": p3_clean, "p3_by_text": p3_by_text, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
