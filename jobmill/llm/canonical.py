@@ -250,10 +250,8 @@ def similar_names(left: DataFrame, right: DataFrame) -> DataFrame:
     n = F.col("letters")
     # an entry knows its similarity; a reading takes the least overlap of the entries that it can meet
     entry_least = F.greatest(overlap(need(n), size + size - 2 * FURTHEST), F.lit(1))
-    reading_least = F.lit(2**30)
-    for d in range(-FURTHEST, FURTHEST + 1):
-        m = n + d
-        reading_least = F.when(m >= 1, F.least(reading_least, F.greatest(overlap(need(m), size + 2 * m - 1), F.lit(1)))).otherwise(reading_least)
+    met = [(n + d, F.greatest(overlap(need(n + d), size + 2 * (n + d) - 1), F.lit(1))) for d in range(-FURTHEST, FURTHEST + 1)]
+    reading_least = F.least(*[F.when(m >= 1, o) for m, o in met])
     least = F.when(F.col("side") == 1, entry_least).otherwise(reading_least)
     prefix = ordered.select("side", "name", "letters", F.posexplode(F.slice("g", F.lit(1), F.greatest(size - least + 1, F.lit(1)).cast("int"))["gram"]).alias("at", "gram"))
     a, b = (prefix.where(F.col("side") == s).select("gram", *[F.col(c).alias(f"{p}_{c}") for c in ("name", "letters", "at")]) for s, p in ((0, "left"), (1, "right")))

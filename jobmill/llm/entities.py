@@ -1,35 +1,35 @@
 """Records of several sources that describe one opening, matched without a common key.
 
 Each attribute is brought to a name: what the sources' own boards (the authoritative rows) call it, or else the typed
-form itself. Typed forms that no board uses are blocked against the boards' forms by MinHash bands and verified.
-Records that agree on company, role with seniority, and team are compared pairwise; the pair's other evidence
-(dates, pay, years, level, slips of the pen) is weighed by a logistic model that is trained on weak labels (places that
-both sides name) and calibrated on labels it hasn't seen.
+form itself. Typed forms that no board uses are blocked against the boards' forms, and those near none of them against each
+other, by MinHash bands, and verified. Records that agree on company, role with seniority, and team form a block. The places
+of a block are read by `places`. A logistic model weighs how alike company, role and place are and what else a pair
+has (dates, pay, years, level); it is trained on weak labels and calibrated on labels that it hasn't seen. Records of one block
+and city are one opening; a record without a city joins the opening that the model holds likeliest.
 """
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from jobmill.llm.canonical import edits, plain
+from jobmill.llm.places import parts_column, with_cities
 from jobmill.operators.skew import join_counted
 from jobmill.session import cut, spread
 
 BANDS, ROWS = 40, 4  #: MinHash bands and the hashes in each
-MOST_RUNS = 200  #: runs of words of one company name
 TRAIN_BLOCKS, BLOCK_SIZE = 20_000, 100  #: blocks that labelled pairs are taken from, and their greatest size
 TRAIN_PAIRS = 20_000  #: the most labelled pairs that the classifier is fitted and calibrated on
-LEAST_LABELS = 30  #: with fewer of either label, the fixed weights stand
 MATCH = 0.5  #: probability from which a pair is a match
-SAME_PLACE = 50.0  #: how many times likelier one opening is where both cities are named and the same
+RIDGE = 1.0  #: how strongly the model is held to PRIOR: worth a few labels, nothing beside thousands
 
 # Legal forms and tails of domain names in company names.
 LEGAL = set("inc llp llc ltd limited private pvt gmbh ag sa corp corporation co company plc bv kg kgaa se srl spa oy ab as nv pty pte sas sarl group holding holdings".split())
@@ -48,35 +48,6 @@ TITLE_PAIRS = {("front", "end"): "frontend", ("back", "end"): "backend", ("co",
 # Notes on an advert that are no part of its title.
 NOTES = set("hiring urgent immediate joiner joiners remote ok hybrid onsite full time part fulltime parttime m f d w x all genders req yrs years exp wfh apply now new opening vacancy contract permanent".split())
 
-# Cities by their other names, and the countries they lie in.
-CITIES = {
-    "ahmedabad": "amdavad", "austin": "", "bengaluru": "bangalore|blr|bengalooru", "berlin": "", "chennai": "madras", "cologne": "koeln|köln|koln", "denver": "", "dublin": "",
-    "gurugram": "gurgaon|gurugaon", "hamburg": "", "hyderabad": "hyd|hitec city", "indore": "", "jaipur": "", "kochi": "cochin", "kolkata": "calcutta", "leeds": "", "lisbon": "lisboa",
-    "london": "greater london", "lyon": "", "madrid": "", "montreal": "", "mumbai": "bombay|andheri", "munich": "muenchen|münchen|munchen", "mysuru": "mysore", "new york": "nyc|new york city|ny",
-    "noida": "noida sector 62", "paris": "paris 9e", "perth": "", "prague": "praha", "pune": "poona|baner", "san francisco": "sf|san francisco bay area|bay area", "seattle": "", "seville": "sevilla",
-    "singapore": "sg", "sydney": "", "tokyo": "東京", "toronto": "", "vienna": "wien", "warsaw": "warszawa", "zurich": "zürich|zuerich",
-}
-COUNTRY_OF = {
-    c: k
-    for k, cs in {
-        "india": "ahmedabad bengaluru chennai gurugram hyderabad indore jaipur kochi kolkata mumbai mysuru noida pune", "germany": "berlin cologne hamburg munich", "united states": "austin denver seattle new_york san_francisco",
-        "united kingdom": "leeds london", "ireland": "dublin", "france": "lyon paris", "spain": "madrid seville", "canada": "montreal toronto", "australia": "perth sydney", "czechia": "prague", "portugal": "lisbon",
-        "singapore": "singapore", "japan": "tokyo", "austria": "vienna", "poland": "warsaw", "switzerland": "zurich",
-    }.items()
-    for c in cs.replace("_", "\xa0").split(" ")
-}
-COUNTRY_OF = {c.replace("\xa0", " "): k for c, k in COUNTRY_OF.items()}
-COUNTRIES = {**{k: k for k in COUNTRY_OF.values() if k != "singapore"}, "usa": "united states", "us": "united states", "uk": "united kingdom", "deutschland": "germany", "españa": "spain", "great britain": "united kingdom"}
-
-
-def _fold(text: str) -> str:
-    return " ".join("".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).split())
-
-
-CITY_NAMES = {_fold(n): c for c, others in CITIES.items() for n in (c, *filter(None, others.split("|")))}
-COUNTRY_NAMES = {_fold(n): c for n, c in COUNTRIES.items()}
-
-
 def company_words(name: str | None) -> list[str]:
     """The words of a company's name without brackets, article, legal forms and domain endings."""
     text = re.sub(r"\([^)]*\)?", " ", plain(name or "").strip())
@@ -129,21 +100,6 @@ def _near_level(word: str) -> str | None:
     return next((k for k in sorted(set(SENIORITY.values())) if len(word) >= 3 and edits(word, k, 2) <= (1 if len(k) < 7 else 2)), None)
 
 
-def place_parts(location: str | None) -> tuple[str | None, str | None]:
-    """(city, country) as far as a typed place names them; nulls where it doesn't."""
-    text = _fold(re.sub(r"\([^)]*\)?|/\s*remote", " ", (location or "").replace("/ Remote", " "), flags=re.I))
-    parts = [p.strip() for p in re.split(r",|\s[-–]\s|/", text) if p.strip()]
-    city = next((CITY_NAMES[p] for p in parts if p in CITY_NAMES), None)
-    country = next((COUNTRY_NAMES[p] for p in parts if p in COUNTRY_NAMES), None)
-    if city is None:
-        rest = [p for p in parts if p not in COUNTRY_NAMES and p not in ("remote", "anywhere", "worldwide", "hybrid")]
-        for p in rest[:1]:
-            near = sorted((edits(p, n, 2), n) for n in CITY_NAMES if len(n) >= 4 or len(p) == len(n) + 1)
-            close = [(d, CITY_NAMES[n]) for d, n in near if d <= (1 if len(n) < 7 else 2)]
-            city = close[0][1] if close and len({c for d, c in close if d == close[0][0]}) == 1 else None
-    return city, country or (COUNTRY_OF.get(city) if city else None)
-
-
 def _memoised(f):
     def run(values: pd.Series) -> pd.Series:
         memo: dict = {}
@@ -160,11 +116,6 @@ def _role(titles: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(_memoised(role_parts)(titles), columns=["a", "b"])
 
 
-@F.pandas_udf(PARTS)
-def _place(places: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(_memoised(place_parts)(places), columns=["a", "b"], dtype=object)
-
-
 @F.pandas_udf(ArrayType(StringType()))
 def _company(names: pd.Series) -> pd.Series:
     return pd.Series(_memoised(company_words)(names))
@@ -208,48 +159,47 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a form of `left` and an `other` of `right` that share a MinHash band and differ by a few slips."""
-    rest = [c for c in right.columns if c != "form"]
-    pairs = spread(_banded(left), "band", "hash").join(spread(_banded(right).withColumnRenamed("form", "other"), "band", "hash"), ["band", "hash"])
+    """Pairs of a form of `left` and an `other` of `right` that share a MinHash band and differ by a few slips; where both have
+    a `scope`, only pairs of the same."""
+    rest = [c for c in right.columns if c not in ("form", "scope")]
+    on = ["band", "hash", *(["scope"] if "scope" in left.columns and "scope" in right.columns else [])]
+    pairs = spread(_banded(left), *on).join(spread(_banded(right).withColumnRenamed("form", "other"), *on), on)
     close = pairs.where(F.levenshtein("form", "other", 4) >= 0)  # two swaps of neighbours are four plain edits
     return spread(close.select(*left.columns, "other", *rest), "form").distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 
 
-def link_forms(typed: DataFrame, listed: DataFrame, among: bool = True) -> DataFrame:
-    """(form, name, slips, n): the name that each typed form stands for.
+def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
+    """(scope, form, name, slips, n): the name that each typed form stands for.
 
-    typed: `form`, distinct, `n` (rows with it), `heads` (array: the form and what it is shortened to) and `parts`
-    (array: runs of its words, under which a listed form may stand within it, at the cost of one slip); listed:
+    typed: `scope` and `form`, together distinct, `n` (rows with it), `heads` (array: the form and what it is shortened to) and
+    `parts` (array: runs of its words, under which a listed form may stand within it, at the cost of one slip); listed:
     `form`, `name`, `weight`, one row for each form. A listed form stands for its own name with 0 slips; other forms
     are blocked with the listed ones by MinHash bands, and the verified pair with the fewest slips wins (then the
-    heavier name, then the first in binary order). Forms near nothing listed are held against each other (`among`; else they
-    keep themselves): a form
-    that is the head of a longer one takes the longest, and one within a few slips of a more frequent one (ties:
+    heavier name, then the first in binary order). Forms near nothing listed are held against each other within their scope: a
+    form that is the head of a longer one takes the longest, and one within a few slips of a more frequent one (ties:
     the greater in binary order) takes that. Runs on distinct forms only, the blocking on those not listed.
     """
     known = typed.join(listed.select("form", "name"), "form", "left")
-    odd = cut(known.where("name is null and form != ''").select("form", "n", "heads", "parts"))
-    near = _near(odd.select("form"), listed.where("form != ''")).select("form", "slips", F.lit(0).alias("size"), "weight", "name")
-    within = odd.select("form", F.explode("parts").alias("part")).join(listed.withColumnRenamed("form", "part"), "part")
+    odd = cut(known.where("name is null and form != ''").select("scope", "form", "n", "heads", "parts"))
+    near = _near(odd.select("form").distinct(), listed.where("form != ''")).select("form", "slips", F.lit(0).alias("size"), "weight", "name")
+    within = odd.select("form", F.explode("parts").alias("part")).distinct().join(listed.withColumnRenamed("form", "part"), "part")
     near = near.unionByName(within.select("form", F.lit(1).alias("slips"), F.length("part").alias("size"), "weight", "name"))
     best = near.groupBy("form").agg(F.min(F.struct("slips", (-F.col("size")).alias("short"), (-F.col("weight")).alias("light"), "name")).alias("best"))
     linked = cut(odd.join(best, "form", "left"))
-    alone = linked.where("best is null").select("form", "n", "heads")
+    alone = linked.where("best is null").select("scope", "form", "n", "heads")
     settled = (
         known.where("name is not null or form = ''")
-        .select("form", F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
-        .unionByName(linked.where("best is not null").select("form", F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
+        .select("scope", "form", F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
+        .unionByName(linked.where("best is not null").select("scope", "form", F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
     )
-    if not among:
-        return settled.unionByName(alone.select("form", F.col("form").alias("name"), F.lit(0).alias("slips"), "n"))
-    whole = alone.select(F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
-    whole = whole.groupBy("form").agg(F.max(F.struct(F.length("name").alias("size"), "weight", "name")).alias("top")).select("form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
-    pairs = _near(alone.select("form"), whole).where("slips > 0 and form != name")
-    other = pairs.groupBy("form").agg(F.max(F.struct("weight", "name", "slips")).alias("other"))
-    held = alone.join(whole, "form", "left").join(other, "form", "left")
+    whole = alone.select("scope", F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
+    whole = whole.groupBy("scope", "form").agg(F.max(F.struct(F.length("name").alias("size"), "weight", "name")).alias("top")).select("scope", "form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
+    pairs = _near(alone.select("scope", "form"), whole).where("slips > 0 and form != name")
+    other = pairs.groupBy("scope", "form").agg(F.max(F.struct("weight", "name", "slips")).alias("other"))
+    held = alone.join(whole, ["scope", "form"], "left").join(other, ["scope", "form"], "left")
     moves = F.struct(F.col("other.weight"), F.col("other.name")) > F.struct(F.col("weight"), F.col("name"))
     moves = F.coalesce(moves, F.lit(False))
-    held = held.select("form", F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
+    held = held.select("scope", "form", F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
     return settled.unionByName(held)
 
 
@@ -258,44 +208,56 @@ def _listed(rows: DataFrame, form: Column, name: Column) -> DataFrame:
     return counted.groupBy("form").agg(F.max(F.struct("weight", "name")).alias("top")).select("form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
 
 
-FEATURES = ["near", "far", "undated", "same_pay", "other_pay", "same_years", "other_years", "same_level", "other_level", "slips"]
-#: Weights that stand where there are too few labels: bias, then FEATURES.
-FIXED_WEIGHTS = [0.5, 2.0, -0.6, 0.0, 1.5, -2.0, 1.0, -0.5, 0.5, -0.5, -0.3]
+FEATURES = ["firm", "post", "same_city", "other_city", "near", "far", "undated", "same_pay", "other_pay", "same_years", "other_years", "same_level", "other_level"]
+#: What the weights are held to, bias first: alike names and the same city speak for one opening, and so do like dates and pay.
+PRIOR = [-11.5, 6.0, 6.0, 4.0, -6.0, 2.0, -0.6, 0.0, 1.5, -2.0, 1.0, -0.5, 0.5, -0.5]
+EVIDENCE = ("posted", "pay", "years", "level")
+
+
+def _alike(a: str, b: str, slips: Column) -> Column:
+    """How alike two names are, from 0 to 1, less the share of letters that were slips of the pen on the way to them."""
+    size = F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.greatest(1 - (F.levenshtein(a, b) + slips) / size, F.lit(0.0))
+
+
+def _evidence(days: Column, same: dict[str, Column], other: dict[str, Column]) -> dict[str, Column]:
+    yes = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return {
+        "near": yes(days <= 4), "far": F.coalesce(F.log1p(days), F.lit(0.0)), "undated": days.isNull().cast("double"),
+        **{k: yes(c[k.partition("_")[2]]) for k in ("same_pay", "other_pay", "same_years", "other_years", "same_level", "other_level") for c in [same if k.startswith("same") else other]},
+    }
 
 
-def _features() -> dict[str, Column]:
+def _pair_features(city: Column) -> dict[str, Column]:
+    """Features of a pair with the columns a_* and b_*; city: whether the cities are the same, null where one isn't known."""
     days = F.abs(F.unix_seconds("a_posted") - F.unix_seconds("b_posted")) / 86400.0
+    fields = EVIDENCE[1:]
+    names = {"firm": _alike("a_firm", "b_firm", F.col("a_firm_slips") + F.col("b_firm_slips")), "post": _alike("a_post", "b_post", F.col("a_post_slips") + F.col("b_post_slips"))}
+    place = {"same_city": F.coalesce(city.cast("double"), F.lit(0.0)), "other_city": F.coalesce((~city).cast("double"), F.lit(0.0))}
+    return names | place | _evidence(days, {c: F.col(f"a_{c}") == F.col(f"b_{c}") for c in fields}, {c: F.col(f"a_{c}") != F.col(f"b_{c}") for c in fields})
 
-    def same(c: str) -> Column:
-        return F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")).cast("double"), F.lit(0.0))
 
-    def other(c: str) -> Column:
-        return F.coalesce((F.col(f"a_{c}") != F.col(f"b_{c}")).cast("double"), F.lit(0.0))
+def _probability(weights: np.ndarray, features: dict[str, Column]) -> Column:
+    score = F.lit(float(weights[0]))
+    for name, w in zip(FEATURES, weights[1:]):
+        score = score + features[name] * float(w)
+    return 1 / (1 + F.exp(-score))
 
-    return {
-        "near": F.coalesce((days <= 4).cast("double"), F.lit(0.0)),
-        "far": F.coalesce(F.log1p(days), F.lit(0.0)),
-        "undated": days.isNull().cast("double"),
-        "same_pay": same("pay"),
-        "other_pay": other("pay"),
-        "same_years": same("years"),
-        "other_years": other("years"),
-        "same_level": same("level"),
-        "other_level": other("level"),
-        "slips": (F.col("a_slips") + F.col("b_slips")).cast("double"),
-    }
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights of a logistic model, bias first, by Newton's method with a ridge."""
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 30, prior: list[float] | None = None) -> np.ndarray:
+    """Weights of a logistic model, bias first, by Newton's method with a ridge around `prior` (0 if none is given)."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(x.shape[1])
+    at = np.zeros(x.shape[1]) if prior is None else np.array(prior, float)
+    w = at.copy()
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + ridge / 2 * ((w - at) ** 2).sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
+        grad = x.T @ (p - y) + ridge * (w - at)
         hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
+        step, before = np.linalg.solve(hess, grad), loss(w)
+        while loss(w - step) > before and np.abs(step).max() > 1e-9:  # too far: the whole step need not lead down
+            step /= 2
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -304,100 +266,136 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 def train(labelled: DataFrame) -> np.ndarray:
     """Weights from weak labels: fitted on one half of a bounded sample, calibrated (Platt) on the other.
 
-    labelled: FEATURES, `label` (0 or 1) and `order` (a hash). At most TRAIN_PAIRS rows are used, the first by hash.
+    labelled: FEATURES, `label` (0 or 1) and `order` (a hash). At most TRAIN_PAIRS rows are used, the first by hash. Both steps are held
+    to what is believed beforehand (PRIOR; no change by the calibration), so that they are the same at every number of labels.
     """
     rows = labelled.orderBy("order").limit(TRAIN_PAIRS).toPandas()
     y = rows["label"].to_numpy(float)
-    if min(y.sum(), len(y) - y.sum()) < LEAST_LABELS:
-        return np.array(FIXED_WEIGHTS)
-    x, held = rows[FEATURES].to_numpy(float), np.arange(len(rows)) % 2 == 1
-    w = fit_logistic(x[~held], y[~held])
-    score = (w[0] + x[held] @ w[1:])[:, None]
-    if min(y[held].sum(), held.sum() - y[held].sum()) == 0:
-        return w
-    shift, scale = fit_logistic(score, y[held])
+    x, held = rows[FEATURES].to_numpy(float).reshape(len(rows), len(FEATURES)), np.arange(len(rows)) % 2 == 1
+    w = fit_logistic(x[~held], y[~held], prior=PRIOR)
+    shift, scale = fit_logistic((w[0] + x[held] @ w[1:])[:, None], y[held], prior=[0.0, 1.0])
     return np.concatenate([[shift + scale * w[0]], scale * w[1:]])
 
 
 def _labelled(records: DataFrame) -> DataFrame:
-    """Weakly labelled pairs of records with named cities: 1 if the cities are the same.
+    """Weakly labelled pairs of records with named cities.
 
-    They come from a bounded number of blocks, the first by hash, each of at most BLOCK_SIZE records, so that the
-    labels cost the same whatever the size of the table.
+    Records of one block are one opening if their cities are the same (1), and are not if they differ (0); each such pair is given with
+    and without its cities, so that the other evidence is learned too. Neighbours by hash that share company and city but
+    not the role, or role and city but not the company, are not (0). They come from a bounded number of blocks, the
+    first by hash, each of at most BLOCK_SIZE records, so that the labels cost the same whatever the size of the table.
     """
     named = records.where("city is not null")
-    blocks = named.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, BLOCK_SIZE)).orderBy(F.xxhash64("block"), "block").limit(TRAIN_BLOCKS).select("block")
+    blocks = named.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where(F.col("m").between(2, BLOCK_SIZE)).orderBy("block").limit(TRAIN_BLOCKS).select("block")
     some = cut(named.join(blocks, "block", "left_semi"))
-    side = {s: some.select(*[F.col(c).alias(f"{s}_{c}") for c in records.columns]) for s in "ab"}
-    pairs = side["a"].join(side["b"], (F.col("a_block") == F.col("b_block")) & (F.col("a_exact_block") == F.col("b_exact_block")) & (F.col("a_site") != F.col("b_site")) & (F.col("a_job_id") < F.col("b_job_id")))
-    label = (F.col("a_city") == F.col("b_city")).cast("int")
-    return pairs.withColumns(_features()).select(*FEATURES, label.alias("label"), F.xxhash64("a_job_id", "b_job_id").alias("order"))
-
-
-def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
-    """(job_id_a, job_id_b, confidence) of records of different sites that are one opening, job_id_a < job_id_b.
-
-    df: all_jobs' columns job_id, company, role, site, location, posted_at, salary_min_lpa, years_required, role_level.
-    authoritative: which rows name company, role and team in the boards' own words. Rows that share a job_id are
-    one record (each field's greatest value); null ids, companies, roles and sites match nothing.
-    A pair agrees on company, role, seniority and team. Named cities must be the same, and where a name was only
-    nearly the same, the other evidence must bear it out; a record whose place is missing or wider takes the city of the likeliest
-    record it may belong to (probability MATCH or more, countries agreeing), and pairs that stay without a city match on probability alone.
-    Records with a city are joined on company, role, seniority, team and city, those without on the first four;
-    each pair is compared once, and no pair with different cities is ever formed.
+    fields = ["job_id", "site", "city", "firm", "post", "firm_slips", "post_slips", *EVIDENCE]
+    side = {s: some.select("block", *[F.col(c).alias(f"{s}_{c}") for c in fields]) for s in "ab"}
+    pairs = side["a"].join(side["b"], "block").where((F.col("a_site") != F.col("b_site")) & (F.col("a_job_id") < F.col("b_job_id")))
+    same = F.col("a_city") == F.col("b_city")
+    parts = [pairs.withColumns(_pair_features(c)).select(*FEATURES, same.cast("int").alias("label"), F.xxhash64("a_job_id", "b_job_id", F.lit(n)).alias("order")) for n, c in enumerate((same, F.lit(None).cast("boolean")))]
+    for shared, differs in (("firm", "post"), ("post", "firm")):
+        w = Window.partitionBy(shared, "city").orderBy(F.xxhash64("job_id"), "job_id")
+        both = some.select(*[F.col(c).alias(f"a_{c}") for c in fields], *[F.lag(c).over(w).alias(f"b_{c}") for c in fields])
+        unlike = both.where(F.col(f"a_{differs}") != F.col(f"b_{differs}"))
+        parts.append(unlike.withColumns(_pair_features(F.lit(True))).select(*FEATURES, F.lit(0).alias("label"), F.xxhash64("a_job_id", "b_job_id").alias("order")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def resolved(df: DataFrame, authoritative: Column) -> DataFrame:
+    """Every record with the names of its company, role and team, its block, and its city and country where its place names them.
+
+    df: as in `match_openings`. Columns: job_id, site, block (a digest of the names), firm, post (role and team), firm_slips,
+    post_slips, city, country and EVIDENCE.
     """
     fields = ["company", "role", "site", "location", "posted_at", "salary_min_lpa", "years_required", "role_level"]
     once = df.where("job_id is not null").select("job_id", *fields, F.coalesce(authoritative, F.lit(False)).alias("own")).groupBy("job_id").agg(*[F.max(c).alias(c) for c in (*fields, "own")])
     parsed = (
         once.where("company is not null and role is not null and site is not null")
-        .withColumns({"words": _company("company"), "r": _role("role"), "p": _place("location")})
-        .select("job_id", "site", "own", "words", F.array_join("words", "").alias("firm"), F.col("r.a").alias("post"), F.col("r.b").alias("team"), F.col("p.a").alias("city"), F.col("p.b").alias("country"),
+        .withColumns({"words": _company("company"), "r": _role("role"), "parts": parts_column("location")})
+        .select("job_id", "site", "own", "words", F.array_join("words", "").alias("firm"), F.col("r.a").alias("post"), F.col("r.b").alias("team"), "parts",
                 F.col("posted_at").alias("posted"), F.col("salary_min_lpa").alias("pay"), F.col("years_required").alias("years"), F.col("role_level").alias("level"))
         .where("firm != '' and post != ''")
     )
     parsed = cut(parsed)
     own = parsed.where("own")
     heads = F.transform(F.sequence(F.least(F.lit(2), F.size("words")), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), ""))
-    firms = _listed(own.select("firm", F.explode(heads).alias("form")), F.col("form"), F.col("firm"))
-    last = F.size("words") - 1
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(2), F.greatest(last - i + 2, F.lit(2))), lambda n: F.array_join(F.slice("words", i, n), ""))))
-    named = parsed.withColumns({"firm_heads": heads, "firm_parts": F.when(last >= 2, F.slice(runs, 1, MOST_RUNS)).otherwise(F.array().cast("array<string>"))}).drop("words", "own")
+    firms = cut(_listed(own.select("firm", F.explode(heads).alias("form")), F.col("form"), F.col("firm")))
+    longest = firms.agg(F.max(F.length("form"))).first()[0] or 0
+    count = F.size("words")
+    last = lambda i: F.least(count, i + longest - 1)  # noqa: E731  # a word has a letter at least: no longer run can be listed
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.transform(F.sequence(F.least(i + 1, last(i)), last(i)), lambda n: F.array_join(F.slice("words", i, n - i + 1), ""))))
+    named = parsed.withColumns({"firm_heads": heads, "firm_parts": F.when(count > 2, F.array_distinct(F.filter(runs, lambda r: F.length(r) <= longest))).otherwise(F.array().cast("array<string>"))}).drop("words")
     for column, listed in {"firm": firms, "post": _listed(own, F.col("post"), F.col("post")), "team": _listed(own.where("team != ''"), F.col("team"), F.col("team"))}.items():
         firm = column == "firm"
+        scope = F.lit("") if firm else F.col("firm_name")
         shorter = F.min("firm_heads") if firm else F.array(F.first(column))
-        runs = F.min("firm_parts") if firm else F.array().cast("array<string>")
-        typed = named.groupBy(F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"), runs.alias("parts"))
-        dim = cut(link_forms(typed, listed, among=firm)).select(F.col("form").alias(column), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
-        named = join_counted(named, dim, column, "n")
-    records = cut(
-        named.select("job_id", "site", F.xxhash64("firm_name", "post_name", "team_name").alias("block"), F.concat_ws("\x1f", "firm_name", "post_name", "team_name").alias("exact_block"),
-                     (F.col("firm_slips") + F.col("post_slips") + F.col("team_slips")).alias("slips"), "city", "country", "posted", "pay", "years", "level")
-    )
+        parts = F.min("firm_parts") if firm else F.array().cast("array<string>")
+        typed = named.groupBy(scope.alias("scope"), F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"), parts.alias("parts"))
+        key = F.concat_ws("\x1f", scope, F.col(column))
+        dim = cut(link_forms(typed, listed)).select(F.concat_ws("\x1f", "scope", "form").alias("__key"), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
+        named = join_counted(named.withColumn("__key", key), dim, "__key", "n").drop("__key")
+    post = F.concat_ws(" / ", "post_name", F.nullif("team_name", F.lit("")))
+    records = named.select("job_id", "site", "own", F.md5(F.concat_ws("\x1f", "firm_name", "post_name", "team_name")).alias("block"), F.col("firm_name").alias("firm"), post.alias("post"),
+                           "firm_slips", (F.col("post_slips") + F.col("team_slips")).alias("post_slips"), "parts", *EVIDENCE)
+    return cut(with_cities(cut(records)))
+
+
+def _openings(records: DataFrame, weights: np.ndarray) -> DataFrame:
+    """`records` with `at`, the city of their opening (null where none is likely enough), and `sure`, the probability of that.
+
+    Named cities are certain. A record without one is compared with each opening of its block as a whole: how far it lies from the
+    opening's dates, and whether its pay, years and level are among the opening's; countries must agree, and a record of another
+    site be there. One row for each record and city of its block, never one for each pair of records.
+    """
+    named, open_ = records.where("city is not null"), records.where("city is null")
+    of = {c: F.collect_set(c).alias(f"c_{c}") for c in EVIDENCE[1:]}
+    openings = named.groupBy("block", "city").agg(F.min("posted").alias("c_from"), F.max("posted").alias("c_to"), F.max("country").alias("c_country"), F.min("site").alias("c_site"), F.max("site").alias("c_site2"), *of.values())
+    openings = openings.withColumnRenamed("city", "at")
+    met = open_.select("job_id", "site", "block", "country", "firm", "post", "firm_slips", "post_slips", *EVIDENCE).join(openings, "block")
+    met = met.where(F.coalesce(F.col("country") == F.col("c_country"), F.lit(True)) & ((F.col("c_site") != F.col("site")) | (F.col("c_site2") != F.col("site"))))
+    day = lambda c: F.unix_seconds(c) / 86400.0
+    days = F.when(F.col("posted").isNotNull() & F.col("c_from").isNotNull(), F.greatest(day("c_from") - day("posted"), day("posted") - day("c_to"), F.lit(0.0)))
+    inside = {c: F.array_contains(f"c_{c}", F.col(c)) for c in EVIDENCE[1:]}
+    outside = {c: ~F.array_contains(f"c_{c}", F.col(c)) & (F.size(f"c_{c}") > 0) for c in EVIDENCE[1:]}
+    features = {"firm": _alike("firm", "firm", F.col("firm_slips")), "post": _alike("post", "post", F.col("post_slips")), "same_city": F.lit(0.0), "other_city": F.lit(0.0)} | _evidence(days, inside, outside)
+    likely = met.withColumn("p", _probability(weights, features)).groupBy("job_id").agg(F.max(F.struct("p", "at")).alias("top")).where(F.col("top.p") >= MATCH)
+    homes = likely.select("job_id", F.col("top.at").alias("home"), F.col("top.p").alias("home_p"))
+    return records.join(homes, "job_id", "left").withColumns({"at": F.coalesce("city", "home"), "sure": F.when(F.col("city").isNotNull(), 1.0).otherwise(F.col("home_p"))}).drop("home", "home_p")
+
+
+def openings(df: DataFrame, authoritative: Column) -> DataFrame:
+    """(job_id, opening, sure, records) of every record that has an opening: the class it belongs to and the class's size.
+
+    `opening` is a digest of company, role, seniority, team and city, `sure` the probability of belonging to it. Arguments, and the
+    records without a class, as in `match_openings`. Linear in the records; pairs are only formed by `match_openings`.
+    """
+    records = resolved(df, authoritative)
+    placed = cut(_openings(records, train(_labelled(records))).where("at is not null").select("job_id", F.md5(F.concat_ws("\x1f", "block", "at")).alias("opening"), "sure"))
+    return join_counted(placed, placed.groupBy("opening").agg(F.count(F.lit(1)).alias("records"), F.count(F.lit(1)).alias("n")), "opening", "n").select("job_id", "opening", "sure", "records")
+
+
+def match_openings(df: DataFrame, authoritative: Column) -> DataFrame:
+    """(job_id_a, job_id_b, confidence) of records of different sites that are one opening, job_id_a < job_id_b.
+
+    df: all_jobs' columns job_id, company, role, site, location, posted_at, salary_min_lpa, years_required, role_level.
+    authoritative: which rows name company, role, team and place in the boards' own words. Rows that share a job_id are
+    one record (each field's greatest value); null ids, companies, roles and sites match nothing.
+    A pair agrees on company, role, seniority and team. Named cities must be the same; a record whose place is missing or wider belongs to
+    the likeliest opening of its block (`_openings`); those that belong to none match among each other, countries agreeing.
+    A pair's confidence is the model's probability for it, or that of either record's belonging to the opening where that is
+    less; pairs below MATCH are left out. No pair with different cities is ever formed.
+    """
+    records = resolved(df, authoritative)
     weights = train(_labelled(records))
-    side = {s: records.select(*[F.col(c).alias(f"{s}_{c}") for c in records.columns]) for s in "ab"}
-    same_block = (F.col("a_block") == F.col("b_block")) & (F.col("a_exact_block") == F.col("b_exact_block"))
-    other_site = F.col("a_site") != F.col("b_site")
-    named_pairs = side["a"].join(side["b"], same_block & other_site & (F.col("a_city") == F.col("b_city")) & (F.col("a_job_id") < F.col("b_job_id")))
-    fit = F.coalesce(F.col("a_country") == F.col("b_country"), F.lit(True))
-    later = F.col("b_city").isNotNull() | (F.col("a_job_id") < F.col("b_job_id"))
-    open_pairs = side["a"].where("a_city is null").join(side["b"], same_block & other_site & fit & later)
-    turned = F.col("a_job_id") > F.col("b_job_id")
-    swapped = {f"{s}_{c}": F.when(turned, F.col(f"{o}_{c}")).otherwise(F.col(f"{s}_{c}")) for s, o in ("ab", "ba") for c in records.columns}
-    pairs = named_pairs.unionByName(open_pairs.select(*[c.alias(n) for n, c in swapped.items()]))
-    pairs = cut(pairs.withColumns(_features()).select("a_job_id", "b_job_id", "a_city", "b_city", *FEATURES))
-    score = F.lit(float(weights[0]))
-    for name, w in zip(FEATURES, weights[1:]):
-        score = score + F.col(name) * float(w)
-    scored = pairs.withColumn("p", 1 / (1 + F.exp(-score)))
-    one_named = scored.where("(a_city is null) != (b_city is null)")
-    votes = one_named.select(F.when(F.col("a_city").isNull(), F.col("a_job_id")).otherwise(F.col("b_job_id")).alias("job_id"), F.coalesce("a_city", "b_city").alias("city"), "p")
-    homes = votes.groupBy("job_id").agg(F.max(F.struct("p", "city")).alias("top")).where(F.col("top.p") >= MATCH).select("job_id", F.col("top.city").alias("city"))
-    for s in "ab":
-        scored = scored.join(homes.select(F.col("job_id").alias(f"{s}_job_id"), F.col("city").alias(f"{s}_home")), f"{s}_job_id", "left").withColumn(f"{s}_at", F.coalesce(f"{s}_city", f"{s}_home"))
-    settled = F.col("a_at").isNotNull() & F.col("b_at").isNotNull()
-    named_both = F.col("a_city").isNotNull() & F.col("b_city").isNotNull()
-    backed = F.col("p") * SAME_PLACE / (F.col("p") * SAME_PLACE + 1 - F.col("p"))
-    confidence = F.when(named_both & (F.col("slips") == 0), F.greatest(backed, F.lit(MATCH))).when(named_both, backed).otherwise(F.col("p"))
-    scored = scored.withColumn("confidence", confidence)
-    kept = scored.where(F.when(settled, (F.col("a_at") == F.col("b_at")) & (F.col("confidence") >= F.when(named_both, MATCH).otherwise(0.0))).otherwise(F.col("confidence") >= MATCH))
-    return kept.select(F.col("a_job_id").alias("job_id_a"), F.col("b_job_id").alias("job_id_b"), "confidence")
+    placed = cut(_openings(records, weights))
+    fields = ["job_id", "site", "country", "firm", "post", "firm_slips", "post_slips", "sure", *EVIDENCE]
+
+    def pairs(rows: DataFrame, on: list[str], city: Column, fit: Column) -> DataFrame:
+        side = {s: rows.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in fields]) for s in "ab"}
+        both = side["a"].join(side["b"], on).where((F.col("a_site") != F.col("b_site")) & (F.col("a_job_id") < F.col("b_job_id")) & fit)
+        p = F.least(_probability(weights, _pair_features(city)), "a_sure", "b_sure")
+        return both.select(F.col("a_job_id").alias("job_id_a"), F.col("b_job_id").alias("job_id_b"), p.alias("confidence"))
+
+    together = pairs(placed.where("at is not null"), ["block", "at"], F.lit(True), F.lit(True))
+    apart = pairs(placed.where("at is null"), ["block"], F.lit(None).cast("boolean"), F.coalesce(F.col("a_country") == F.col("b_country"), F.lit(True)))
+    return together.unionByName(apart).where(F.col("confidence") >= MATCH)

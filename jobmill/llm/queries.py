@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobmill.functions.text import squeeze
 from jobmill.llm.boilerplate import repeated_lines, without_repeated_lines
 from jobmill.llm.canonical import canonical_values
-from jobmill.llm.entities import match_openings
+from jobmill.llm.entities import match_openings, openings
 from jobmill.llm.packing import pack, token_counts
 from jobmill.llm.sentences import sentence_units
 from jobmill.llm.tokenizer import encode_column
@@ -41,6 +41,11 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_openings(table(spark, sf_dir, "all_jobs"), F.col("site").startswith("ats:"))
 
 
+def p2_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every advert with the opening it belongs to and how many adverts that has, one row for each."""
+    return openings(table(spark, sf_dir, "all_jobs"), F.col("site").startswith("ats:"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that a company repeats over its adverts (TESTDATA.md, problem 3)."""
     cases = repeated_lines(table(spark, sf_dir, "all_jobs"), "company", "job_id", "jd_text")
@@ -74,5 +79,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_clean": p3_clean, "p3_by_text": p3_by_text, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p2_openings": p2_openings, "p3_found": p3_found, "p3_clean": p3_clean, "p3_by_text": p3_by_text, "p7_ids": p7_ids, "p8_packed": p8_packed, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
