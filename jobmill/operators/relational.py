@@ -98,6 +98,44 @@ def nearest_rank(df: DataFrame, value: str, percents: list[int], group: list[str
     return hit.select(*group, F.col("__p").alias("percent"), F.col(value).alias("value"))
 
 
+def children(text: Column) -> Column:
+    """The members of a JSON object or array as array<struct<key, kind, text>>: STRING with its value, NESTED with its JSON, OTHER; the
+    elements of an array have no key."""
+    entries = F.from_json(text, "map<string,variant>")
+    elements = F.from_json(text, "array<variant>")
+
+    def one(key: Column, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        return F.struct(key.alias("key"), F.when(kind == "STRING", "STRING").when(nested, "NESTED").otherwise("OTHER").alias("kind"), F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(nested, F.to_json(v)).alias("text"))
+
+    no = F.lit(None).cast("string")
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.transform(elements, lambda v: one(no, v))).otherwise(F.transform(F.map_entries(entries), lambda e: one(e["key"], e["value"])))
+
+
+def jaccard_pairs(df: DataFrame, group: list[str], key: str, tokens: str, similarity: float) -> DataFrame:
+    """Pairs of a group's rows whose token sets have at least this Jaccard similarity: group, `<key>_a` < `<key>_b`, `jaccard`, and every
+    other column of both sides with _a and _b.
+
+    df: one row for each group and key, `tokens` an array without repeats. Prefix filter (rarest tokens first, counted over all rows), length
+    filter and positional filter decide who is compared; the similarity is then exact. Empty sets and nulls match nothing.
+    """
+    rest = [c for c in df.columns if c not in (*group, key, tokens)]
+    single = df.where(F.size(tokens) > 0).select(*group, key, F.size(tokens).alias("__m"), F.explode(tokens).alias("__t"))
+    rarity = single.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
+    ordered = single.join(rarity, "__t").groupBy(*group, key, "__m").agg(F.sort_array(F.collect_list(F.struct("__n", "__t")))["__t"].alias("__o"))
+    prefix = ordered.select(*group, key, "__m", F.posexplode(F.slice("__o", F.lit(1), (F.col("__m") - F.ceil(F.col("__m") * similarity - 1e-9) + 1).cast("int"))).alias("__at", "__t"))
+    a, b = (prefix.select(*group, "__t", *[F.col(c).alias(f"{c}_{s}") for c in (key, "__m", "__at")]) for s in "ab")
+    x, y = F.col("__m_a"), F.col("__m_b")
+    possible = (x >= similarity * y - 1e-9) & (y >= similarity * x - 1e-9) & (F.least(x - F.col("__at_a"), y - F.col("__at_b")) >= similarity / (1 + similarity) * (x + y) - 1e-9)
+    near = a.join(b, [*group, "__t"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & possible).select(*group, f"{key}_a", f"{key}_b").distinct()
+    side = {s: df.select(*group, F.col(key).alias(f"{key}_{s}"), F.col(tokens).alias(f"__s_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in rest]) for s in "ab"}
+    both = near.join(side["a"], [*group, f"{key}_a"]).join(side["b"], [*group, f"{key}_b"])
+    shared = F.size(F.array_intersect("__s_a", "__s_b"))
+    found = both.withColumn("jaccard", shared / (F.size("__s_a") + F.size("__s_b") - shared)).where(F.col("jaccard") >= similarity)
+    return found.select(*group, f"{key}_a", f"{key}_b", "jaccard", *[f"{c}_{s}" for c in rest for s in "ab"])
+
+
 def _with_bigrams(df: DataFrame, c: str, name: str) -> DataFrame:
     """Adds `name`: the pairs of neighbouring characters of a text, the n-th of a kind told apart by its number."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))

@@ -28,12 +28,6 @@ def query(sql: str | None = None):
     return register
 
 
-def once(spark: SparkSession, sf: str) -> DataFrame:
-    """all_jobs with one row for each job_id: the latest scrape."""
-    jobs = table(spark, sf, "all_jobs")
-    return O.pick(jobs, ["job_id"], F.col("scraped_at").desc_nulls_last(), F.length(F.coalesce("jd_text", F.lit(""))).desc(), F.hash(*[c for c in jobs.columns if c != "job_id"]))
-
-
 def with_words(df: DataFrame, text: str) -> DataFrame:
     """Adds `words` of a text (letters, marks and digits of any script, + and #) and `gaps`, what stands before, between and after them."""
     return df.withColumns({"words": F.regexp_extract_all(text, F.lit(f"({R.WORD})"), 1), "gaps": F.split(text, R.WORD, -1)})
@@ -192,8 +186,8 @@ row_number() over (partition by ats order by case tier when 'hot' then 0 when 'a
 def due_order_nulls(spark, sf):
     """Due boards by priority, undated first."""
     p = F.when(F.col("tier") == "hot", 0).when(F.col("tier") == "active", 1).when(F.col("tier") == "new", 2).otherwise(3)
-    w = Window.partitionBy("ats").orderBy("priority", F.col("next_poll_at").asc_nulls_first(), F.col("polled_at").asc_nulls_first(), "board_id")
-    return table(spark, sf, "ats_boards").where("poll").withColumn("priority", p).select("ats", "board_id", "priority", F.row_number().over(w).alias("place"))
+    due = table(spark, sf, "ats_boards").where("poll").select("ats", "board_id", p.alias("priority"), "next_poll_at", "polled_at")
+    return O.running_total(due, ["ats"], ["priority", "next_poll_at", "polled_at", "board_id"], F.lit(1), "place").select("ats", "board_id", "priority", "place")
 
 
 @query("select doc_id, n_chars, source from documents order by n_chars desc, doc_id limit 200")
@@ -436,31 +430,59 @@ def boundary_term_hits_all(spark, sf):
 
 @query("""
 with w as (select doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9+#]+') if x != ''] as words from documents where text is not null),
-g as (select distinct doc_id, unnest(list_distinct(list_concat([words[i] || words[i + 1] for i in generate_series(1, len(words) - 1)], [words[i] || words[i + 1] || words[i + 2] for i in generate_series(1, len(words) - 2)]))) as k from w),
-t as (select distinct term, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') as k from skill_registry where term like '% %')
+t as (select distinct term, regexp_replace(lower(term), '[^a-z0-9+#]', '', 'g') as k, len([x for x in regexp_split_to_array(lower(term), '[^a-z0-9+#]+') if x != '']) as n from skill_registry where len([x for x in regexp_split_to_array(lower(term), '[^a-z0-9+#]+') if x != '']) > 1),
+s as (select distinct n from t), g as (select distinct doc_id, array_to_string(words[i : i + n - 1], '') as k from (select doc_id, words, n, unnest(generate_series(1, len(words) - n + 1)) as i from w, s where len(words) >= n))
 select term, count(*) as docs from g join t using (k) group by 1""")
 def ngram_key_containment(spark, sf):
-    """Terms of several words found in texts by an equi join on keys of two- and three-word runs."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z0-9+#]+"), lambda x: x != "").alias("words"))
-    run = lambda n: F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), ""))).otherwise(F.array().cast("array<string>"))
-    g = d.select("doc_id", F.explode(F.array_distinct(F.concat(run(2), run(3)))).alias("k"))
-    t = table(spark, sf, "skill_registry").where("term like '% %'").select("term", R.phrase_key(F.col("term")).alias("k")).distinct()
-    return g.join(t, "k").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    """Terms of several words found in texts by an equi join on the keys of word runs, of every length that a term has."""
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9+#]+", -1), lambda x: x != "")
+    t = table(spark, sf, "skill_registry").select("term", split("term").alias("words")).where("size(words) > 1").distinct()
+    t = cut(t.select("term", "words", F.size("words").alias("size"), F.array_join("words", "").alias("run")))
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", split("text").alias("words"))
+    runs = wanted_runs(d.withColumn("gaps", F.array_repeat(F.lit(""), F.size("words") + 1)), t, "run", "")
+    return runs.select("doc_id", "run").distinct().join(t.select("term", "run"), "run").groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("""
-with o as (select job_id, min(lower(trim(company))) as c, min(jd_text) as t, min(epoch_us(scraped_at)) as seen from all_jobs where jd_text is not null and company is not null group by 1),
-f as (select *, regexp_replace(trim(lower(t)), '[^a-z0-9]+', ' ', 'g') as words from o),
-s as (select job_id, c, seen, md5(words) as fp from f where trim(words) != '')
-select job_id, first_value(job_id) over (partition by c, fp order by seen, job_id) as head, count(*) over (partition by c, fp) as members from s""")
+_OWN_WORDS = "[x for x in regexp_split_to_array(lower(coalesce(location, '')), '[^a-z0-9]+') if x != '']"
+
+
+@query(f"""
+with o as (select *, regexp_replace(lower(trim(company)), '[^a-z0-9]+', ' ', 'g') as c, trim(regexp_replace(lower(coalesce(role, '')), '[^a-z0-9]+', ' ', 'g')) as title, epoch_us(scraped_at) as seen from all_jobs where job_id is not null and jd_text is not null and company is not null
+ qualify row_number() over (partition by job_id order by scraped_at desc nulls last, jd_text desc, coalesce(role, '') desc, company desc, coalesce(location, '') desc) = 1),
+w as (select job_id, c, title, seen, [x for x in regexp_split_to_array(lower(jd_text), '[^a-z0-9]+') if x != '' and not list_contains({_OWN_WORDS}, x)] as ws from o),
+g as (select job_id, c, title, seen, array_to_string(list_sort(list_distinct(case when len(ws) >= 3 then [array_to_string(ws[i : i + 2], ' ') for i in generate_series(1, len(ws) - 2)] else [array_to_string(ws, ' ')] end)), chr(31)) as fp from w where len(ws) > 0)
+select job_id, first_value(job_id) over (partition by c, title, md5(fp) order by seen, job_id) as head, count(*) over (partition by c, title, md5(fp)) as members from g""")
 def sibling_clusters(spark, sf):
-    """Adverts of a company with the same words, as one row for each with its class: the first member and the size."""
-    j = table(spark, sf, "all_jobs").where("jd_text is not null and company is not null")
-    o = j.groupBy("job_id").agg(F.min(F.lower(F.trim("company"))).alias("c"), F.min("jd_text").alias("t"), F.min(F.unix_micros("scraped_at")).alias("at"))
-    words = F.regexp_replace(F.trim(F.lower("t")), "[^a-z0-9]+", " ")
-    s = o.withColumn("words", words).where("trim(words) != ''").select("job_id", "c", "at", F.md5("words").alias("fp"))
-    heads = s.groupBy("c", "fp").agg(F.min(F.struct(F.coalesce("at", F.lit(2**62)), "job_id")).alias("first"), F.count(F.lit(1)).alias("members"))
-    return s.join(heads, ["c", "fp"]).select("job_id", F.col("first.job_id").alias("head"), "members")
+    """Adverts of a company and title with the same three-word runs once their own place's words are left out, as one row for each
+    with its class: the first member and the size. The same text for another city is a sibling, an empty one never is."""
+    j = table(spark, sf, "all_jobs").where("job_id is not null and jd_text is not null and company is not null")
+    order = F.struct(F.coalesce(F.unix_micros("scraped_at"), F.lit(-(2**62))), "jd_text", F.coalesce("role", F.lit("")), "company", F.coalesce("location", F.lit("")))
+    o = j.groupBy("job_id").agg(F.max_by(F.struct("company", "role", "location", "jd_text", F.unix_micros("scraped_at").alias("at")), order).alias("r")).select("job_id", "r.*")
+    words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", -1), lambda x: x != "")
+    own = words("location")
+    s = o.select("job_id", "at", F.regexp_replace(F.lower(F.trim("company")), "[^a-z0-9]+", " ").alias("c"), F.trim(F.regexp_replace(F.lower(F.coalesce("role", F.lit(""))), "[^a-z0-9]+", " ")).alias("title"), F.array_except(own, F.array(F.lit(""))).alias("own"), words("jd_text").alias("ws"))
+    s = s.withColumn("ws", F.filter("ws", lambda x: ~F.array_contains("own", x))).where("size(ws) > 0")
+    s = s.select("job_id", "c", "title", "at", F.md5(F.array_join(F.array_sort(R.ngrams(F.col("ws"), 3)), "\x1f")).alias("fp"))
+    heads = s.groupBy("c", "title", "fp").agg(F.min(F.struct(F.coalesce("at", F.lit(2**62)), "job_id")).alias("first"), F.count(F.lit(1)).alias("members"))
+    return s.join(heads, ["c", "title", "fp"]).select("job_id", F.col("first.job_id").alias("head"), "members")
+
+
+@query("""
+with d as (select lang as c, md5(text) as id, min(text) as t, count(*) as jobs from documents where text is not null and lang is not null group by 1, 2),
+w as (select c, id, jobs, [x for x in regexp_split_to_array(lower(t), '[^a-z0-9]+') if x != ''] as ws from d),
+g as (select c, id, jobs, list_distinct(case when len(ws) >= 5 then [array_to_string(ws[i : i + 4], ' ') for i in generate_series(1, len(ws) - 4)] else [array_to_string(ws, ' ')] end) as s from w where len(ws) > 0)
+select a.c as lang, a.id as id_a, b.id as id_b, a.jobs as copies_a, b.jobs as copies_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::double, 6) as jaccard
+from g a join g b on a.c = b.c and a.id < b.id where len(list_intersect(a.s, b.s)) >= 0.8 * len(list_distinct(list_concat(a.s, b.s)))""")
+def shingle_jaccard(spark, sf):
+    """Pairs of different documents of one language whose five-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Copies are one text with their number. Prefix filter: shingles in order of their rarity, the first fifth (and one) of each
+    text; texts that share none of these can't be so similar. The prefixes are joined, candidates verified exactly.
+    """
+    d = table(spark, sf, "documents").where("text is not null and lang is not null").groupBy("lang", F.md5("text").alias("id")).agg(F.min("text").alias("t"), F.count(F.lit(1)).alias("copies"))
+    ws = d.withColumn("ws", F.filter(F.split(F.lower("t"), "[^a-z0-9]+", -1), lambda x: x != "")).where("size(ws) > 0")
+    g = cut(ws.select("lang", "id", "copies", F.array_sort(F.transform(R.ngrams(F.col("ws"), 5), lambda x: F.xxhash64(x))).alias("s")))
+    return O.jaccard_pairs(g, ["lang"], "id", "s", 0.8).select("lang", "id_a", "id_b", "copies_a", "copies_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""
@@ -566,10 +588,9 @@ coalesce(max(role_level) filter (where scraped_at = last_at), max(role_level) fi
 def upsert_coalesce(spark, sf):
     """The first scrape of every job refreshed by its last, never by a blank."""
     j = table(spark, sf, "all_jobs").where("job_id is not null and scraped_at is not null")
-    ends = j.groupBy("job_id").agg(F.min("scraped_at").alias("first_at"), F.max("scraped_at").alias("last_at"))
-    both = j.join(ends, "job_id")
-    at = lambda c: both.where(F.col("scraped_at") == F.col(c)).groupBy("job_id").agg(*[F.max(x).alias(x) for x in _REFRESHED])
-    return O.upsert(at("first_at"), at("last_at"), ["job_id"], list(_REFRESHED))
+    us = F.unix_micros("scraped_at")
+    value = lambda c: F.coalesce(F.max_by(c, F.struct(us, c)), F.max_by(c, F.struct(-us, c)))  # noqa: E731  # of equal times the greatest, nulls last
+    return j.groupBy("job_id").agg(*[value(c).alias(c) for c in _REFRESHED])
 
 
 @query("""
@@ -616,12 +637,15 @@ def board_report(spark, sf):
 
 
 @query("""
-with j as (select distinct job_id, parse_mode from all_jobs where parse_mode is not null), b as (select job_id, max(role_level) as level, max(len(required_skills)) as skills, parse_mode from all_jobs group by job_id, parse_mode)
-select parse_mode, count(*) as jobs, round(avg(skills), 4) as mean_skills, max(skills) as longest, count(level) as with_level from b where parse_mode is not null group by 1""")
+with b as (select user_id, event_type, count(*) as n, max(value) as best from events group by 1, 2),
+k as (select user_id from b group by 1 having count(*) = (select count(distinct event_type) from b))
+select event_type as variant, count(*) as ids, round(avg(n), 4) as mean_n, max(n) as most, round(avg(best), 4) as mean_best from b where user_id in (select user_id from k) group by 1""")
 def variant_compare(spark, sf):
-    """Parse variants side by side."""
-    b = table(spark, sf, "all_jobs").where("parse_mode is not null").groupBy("job_id", "parse_mode").agg(F.max("role_level").alias("level"), F.max(F.when(F.col("required_skills").isNotNull(), F.size("required_skills")).cast("long")).alias("skills"))
-    return b.groupBy("parse_mode").agg(F.count(F.lit(1)).alias("jobs"), F.round(F.avg("skills"), 4).alias("mean_skills"), F.max("skills").alias("longest"), F.count("level").alias("with_level"))
+    """Variants (event types) side by side, over the ids (users) that every variant has."""
+    b = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
+    variants = b.agg(F.count_distinct("event_type").alias("n")).scalar()
+    rows = b.groupBy("user_id").agg(F.collect_list(F.struct("event_type", "n", "best")).alias("v")).where(F.size("v") == variants).select(F.explode("v").alias("v")).select("v.*")
+    return rows.groupBy(F.col("event_type").alias("variant")).agg(F.count(F.lit(1)).alias("ids"), F.round(F.avg("n"), 4).alias("mean_n"), F.max("n").alias("most"), F.round(F.avg("best"), 4).alias("mean_best"))
 
 
 _LEVEL = "case when regexp_matches(lower(role), '(^|[^a-z])(senior|sr|snr)($|[^a-z])') then 'senior' when regexp_matches(lower(role), '(^|[^a-z])(junior|jr|jnr)($|[^a-z])') then 'junior' when regexp_matches(lower(role), '(^|[^a-z])lead($|[^a-z])') then 'lead' when regexp_matches(lower(role), '(^|[^a-z])staff($|[^a-z])') then 'staff' when regexp_matches(lower(role), '(^|[^a-z])princ') then 'principal' else 'mid' end"
@@ -694,9 +718,9 @@ with p as (select p_partkey, p_brand, row_number() over (partition by p_brand or
 select p_partkey, p_brand, case when n = 1 then 1.0::double when size > 1 then round(0.4 / (size - 1), 8)::double end as weight from p""")
 def comparable_split(spark, sf):
     """A weight split between the first of a group and its mates."""
-    w = Window.partitionBy("p_brand")
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.row_number().over(w.orderBy("p_partkey")).alias("n"), F.count(F.lit(1)).over(w).alias("size"))
-    return p.select("p_partkey", "p_brand", F.when(F.col("n") == 1, F.lit(1.0)).when(F.col("size") > 1, F.round(0.4 / (F.col("size") - 1), 8)).alias("weight"))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    groups = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first"), F.count(F.lit(1)).alias("size"))
+    return p.join(groups, "p_brand").select("p_partkey", "p_brand", F.when(F.col("p_partkey") == F.col("first"), F.lit(1.0)).when(F.col("size") > 1, F.round(0.4 / (F.col("size") - 1), 8)).alias("weight"))
 
 
 @query("""
@@ -727,17 +751,9 @@ def case_insensitive_match(spark, sf):
     return b.groupBy("board").agg(F.count(F.lit(1)).alias("copies"), F.count_distinct("board_id").alias("spellings"), F.bool_or(F.col("pb").isNotNull()).alias("polled"))
 
 
-@query("""
-select company, count(distinct job_id) as jobs, round(min(salary_min_lpa), 2) as low, round(max(salary_max_lpa), 2) as high, round(avg(salary_min_lpa), 4) as mean_low from all_jobs where company is not null group by 1 order by jobs desc, company limit 100""")
-def company_pay(spark, sf):
-    """Pay by company, the 100 largest; company_pay_all has every company."""
-    a = table(spark, sf, "all_jobs").where("company is not null").groupBy("company")
-    return a.agg(F.count_distinct("job_id").alias("jobs"), F.round(F.min("salary_min_lpa"), 2).alias("low"), F.round(F.max("salary_max_lpa"), 2).alias("high"), F.round(F.avg("salary_min_lpa"), 4).alias("mean_low")).orderBy(F.desc("jobs"), "company").limit(100)
-
-
 @query("""
 select company, count(distinct job_id) as jobs, round(min(salary_min_lpa), 2) as low, round(max(salary_max_lpa), 2) as high, round(avg(salary_min_lpa), 4) as mean_low from all_jobs where company is not null group by 1""")
-def company_pay_all(spark, sf):
+def company_pay(spark, sf):
     """Pay by company, a row for every company."""
     a = table(spark, sf, "all_jobs").where("company is not null").groupBy("company")
     return a.agg(F.count_distinct("job_id").alias("jobs"), F.round(F.min("salary_min_lpa"), 2).alias("low"), F.round(F.max("salary_max_lpa"), 2).alias("high"), F.round(F.avg("salary_min_lpa"), 4).alias("mean_low"))
@@ -745,10 +761,11 @@ def company_pay_all(spark, sf):
 
 @query()
 def beam_set_cover(spark, sf):
-    """For each advert the few lines that show the most of the skills it asks for."""
-    j = table(spark, sf, "all_jobs").where("job_id is not null and jd_text is not null and required_skills is not null")
+    """For each advert's latest text the few lines that show the most of the skills it asks for, each as a whole word."""
+    from jobmill.plans.texts import latest_adverts
+
     skills = F.array_distinct(F.filter(F.transform("required_skills", lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-    j = j.groupBy("job_id").agg(F.max("jd_text").alias("text"), F.max("required_skills").alias("required_skills")).select("job_id", F.lower("text").alias("text"), skills.alias("skills"))
+    j = latest_adverts(spark, sf).where("required_skills is not null").select("job_id", F.lower("jd_text").alias("text"), skills.alias("skills"))
     lines = j.select("job_id", "skills", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    shown = lines.select("job_id", "line_no", F.filter("skills", lambda s: F.contains(F.col("line"), s)).alias("shown")).where(F.size("shown") > 0)
+    shown = lines.select("job_id", "line_no", F.filter("skills", lambda s: R.has_term(F.col("line"), s)).alias("shown")).where(F.size("shown") > 0)
     return O.set_cover(shown, "job_id", "line_no", "shown")

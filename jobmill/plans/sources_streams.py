@@ -17,7 +17,7 @@ ORACLE: dict[str, str] = {}
 
 
 def postings_unified(spark: SparkSession, sf: str) -> DataFrame:
-    """The four list tables in one schema, one row for each posting: the latest load."""
+    """The four list tables in one schema, one row for each posting: as the latest load lists it (of several rows the greatest title)."""
     g, l, a, s = (table(spark, sf, f"{n}_list") for n in ("greenhouse", "lever", "ashby", "smartrecruiters"))  # noqa: E741
     frames = [
         g.select(F.lit("greenhouse").alias("ats"), "board_id", "poll_no", posting_id("id").alias("posting_id"), F.col("title"), F.col("location.name").alias("location")),
@@ -26,16 +26,19 @@ def postings_unified(spark: SparkSession, sf: str) -> DataFrame:
         s.select(F.lit("smartrecruiters").alias("ats"), "board_id", "poll_no", posting_id("id").alias("posting_id"), F.col("name").alias("title"), F.coalesce("location.fulllocation", "location.city").alias("location")),
     ]
     rows = frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3]).where("posting_id is not null")
-    best = rows.groupBy("ats", "posting_id").agg(F.max("poll_no").alias("last_poll"), F.max(squeeze("title")).alias("title"), F.max(squeeze("location")).alias("location"), F.count_distinct("poll_no").alias("polls"))
-    return best
+    one = F.struct(squeeze("title").alias("title"), squeeze("location").alias("location"))
+    best = rows.groupBy("ats", "posting_id").agg(F.max("poll_no").alias("last_poll"), F.max_by(one, F.struct("poll_no", F.coalesce("title", F.lit("")), F.coalesce("location", F.lit("")))).alias("l"), F.count_distinct("poll_no").alias("polls"))
+    return best.select("ats", "posting_id", "last_poll", "l.title", "l.location", "polls")
 
 
 ORACLE["postings_unified"] = r"""
 with r as (select 'greenhouse' as ats, poll_no, cast(id as varchar) as posting_id, title, location.name as location from greenhouse_list
 union all select 'lever', poll_no, lower(trim(id)), text, categories.location from lever_list
 union all select 'ashby', poll_no, lower(trim(id)), title, location from ashby_list where islisted is null or islisted
-union all select 'smartrecruiters', poll_no, lower(trim(id)), name, coalesce(location.fulllocation, location.city) from smartrecruiters_list)
-select ats, posting_id, max(poll_no) as last_poll, max(trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))) as title, max(trim(regexp_replace(location, '[\s\x{00A0}]+', ' ', 'g'))) as location, count(distinct poll_no) as polls from r where posting_id is not null group by 1, 2"""
+union all select 'smartrecruiters', poll_no, lower(trim(id)), name, coalesce(location.fulllocation, location.city) from smartrecruiters_list),
+n as (select ats, posting_id, count(distinct poll_no) as polls from r where posting_id is not null group by 1, 2),
+l as (select * from r where posting_id is not null qualify row_number() over (partition by ats, posting_id order by poll_no desc, coalesce(title, '') desc, coalesce(location, '') desc) = 1)
+select ats, posting_id, poll_no as last_poll, trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g')) as title, trim(regexp_replace(location, '[\s\x{00A0}]+', ' ', 'g')) as location, polls from l join n using (ats, posting_id)"""
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,9 @@ from pyspark.sql.types import StringType
 
 from jobmill.functions import rules as R
 from jobmill.functions.terms import norm
+from jobmill.operators import relational as O
 from jobmill.plans.relational import term_places
-from jobmill.session import table
+from jobmill.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,17 +33,19 @@ def query(sql: str | None = None):
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
-def register_strategy(name: str, f: Callable[[DataFrame], DataFrame], replace: bool = False) -> None:
-    """Adds a way of parsing adverts; a name that is taken is an error unless `replace`."""
-    if name in STRATEGIES and not replace:
+def register_strategy(name: str, f: Callable[[DataFrame], DataFrame], replace: bool = False, into: dict | None = None) -> None:
+    """Adds a way of parsing adverts to STRATEGIES (or to `into`); a name that is taken is an error unless `replace`."""
+    known = STRATEGIES if into is None else into
+    if name in known and not replace:
         raise ValueError(f"{name} is registered already")
-    STRATEGIES[name] = f
+    known[name] = f
 
 
-def route(df: DataFrame, by: Column, default: str) -> DataFrame:
+def route(df: DataFrame, by: Column, default: str, strategies: dict | None = None) -> DataFrame:
     """Every row through the strategy that `by` names; unknown and null names go to `default`."""
-    named = df.withColumn("route", F.when(by.isin(list(STRATEGIES)), by).otherwise(default))
-    parts = [f(named.where(F.col("route") == name)) for name, f in STRATEGIES.items()]
+    known = STRATEGIES if strategies is None else strategies
+    named = df.withColumn("route", F.when(by.isin(list(known)), by).otherwise(default))
+    parts = [f(named.where(F.col("route") == name)) for name, f in known.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -73,7 +77,7 @@ def coverage_or_join(spark, sf):
 
 @query("""
 with m as (select max(polled_at) as newest from list_polls) select ats, count(*) as kept, count(distinct board_id) as boards from (select distinct * from list_polls) p, m where polled_at >= newest - interval 60 days or error_text is null group by 1""")
-def prune_old(spark, sf):
+def prune_polls(spark, sf):
     """Failed polls are forgotten after 60 days, all others kept."""
     p = table(spark, sf, "list_polls").distinct()
     newest = p.agg(F.max("polled_at").alias("newest")).scalar()
@@ -81,6 +85,22 @@ def prune_old(spark, sf):
     return kept.groupBy("ats").agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("board_id").alias("boards"))
 
 
+@query("""
+with p as (select distinct poll_no, board_id, polled_at from list_polls where complete and not not_modified and error_text is null and ats = 'greenhouse'),
+l as (select distinct p.board_id, p.polled_at, cast(g.id as varchar) as posting from p join greenhouse_list g using (poll_no)), s as (select board_id, posting, max(polled_at) as seen from l group by 1, 2),
+c as (select s.*, (select min(polled_at) from p where p.board_id = s.board_id and p.polled_at > s.seen) as closed from s), m as (select max(polled_at) as newest from p)
+select board_id, posting, closed is not null as closed from c, m where closed is null or closed >= newest - interval 60 days""")
+def prune_old(spark, sf):
+    """Postings that have been closed for more than 60 days are forgotten, all others kept."""
+    p = table(spark, sf, "list_polls").where("complete and not not_modified and error_text is null and ats = 'greenhouse'").select("poll_no", "board_id", "polled_at").distinct()
+    seen = p.join(table(spark, sf, "greenhouse_list").select("poll_no", F.col("id").cast("string").alias("posting")).distinct(), "poll_no").groupBy("board_id", "posting").agg(F.max("polled_at").alias("seen"))
+    polls = p.groupBy("board_id").agg(F.sort_array(F.collect_set("polled_at")).alias("polls"))
+    closed = F.get(F.filter("polls", lambda t: t > F.col("seen")), F.lit(0))
+    newest = p.agg(F.max("polled_at").alias("newest")).scalar()
+    state = seen.join(polls, "board_id").select("board_id", "posting", closed.alias("at")).withColumn("newest", newest)
+    return state.where("at is null or at >= newest - interval 60 days").select("board_id", "posting", F.col("at").isNotNull().alias("closed"))
+
+
 @query("""
 with o as (select job_id, min(lower(trim(company))) as c, min(lower(trim(role))) as r, min(epoch_us(scraped_at)) as seen from all_jobs where company is not null and role is not null and scraped_at is not null group by 1),
 h as (select c, r, min(seen) as head_seen, count(*) as members from o group by 1, 2)
@@ -114,10 +134,9 @@ def requeue_pending(spark, sf):
 with t as (select term, row_number() over (order by term) - 1 as place, count(*) over () as size from (select distinct term from skill_registry where term is not null))
 select term, place, cast((place + size - 7 % size) % size as bigint) as turn from t""")
 def rotation_ring(spark, sf):
-    """A ring of terms read from a pointer: each term's turn. The list is a small dimension, ordered as a whole."""
+    """A ring of terms read from a pointer: each term's turn, ranked by ranges."""
     t = table(spark, sf, "skill_registry").where("term is not null").select("term").distinct()
-    w = Window.partitionBy(F.lit(0)).orderBy("term")
-    placed = t.select("term", (F.row_number().over(w) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("size"))
+    placed = O.running_total(t, [], ["term"], F.lit(1), "n").withColumn("size", t.agg(F.count(F.lit(1))).scalar()).select("term", (F.col("n") - 1).cast("long").alias("place"), "size")
     return placed.select("term", "place", ((F.col("place") + F.col("size") - F.lit(7) % F.col("size")) % F.col("size")).alias("turn"))
 
 
@@ -192,30 +211,41 @@ def blended_score(spark, sf):
     return g.select("job_id", F.round(F.col("x") * 0.6 + F.col("y") * 0.4, 6).alias("score"))
 
 
-@query()
+@query("""
+select job_id, case when parse_mode in ('llm', 'dictionary') then parse_mode else 'dictionary' end as route,
+cast(max(case when parse_mode = 'llm' then coalesce(len(required_skills), 0) else coalesce(len(list_distinct([lower(trim(x)) for x in required_skills if trim(x) != ''])), 0) end) as int) as skills from all_jobs where job_id is not null group by 1, 2""")
 def parse_routes(spark, sf):
     """Every advert through the strategy for its parse mode; unparsed ones by the dictionary."""
-    from jobmill.functions.terms import clean_terms_column
-
-    STRATEGIES.clear()
-    register_strategy("llm", lambda d: d.select("job_id", "route", F.coalesce("required_skills", F.array().cast("array<string>")).alias("skills")))
-    register_strategy("dictionary", lambda d: d.select("job_id", "route", clean_terms_column("required_skills")["kept"].alias("skills")))
-    routed = route(table(spark, sf, "all_jobs").where("job_id is not null"), F.col("parse_mode"), "dictionary")
+    own: dict[str, Callable[[DataFrame], DataFrame]] = {}
+    trimmed = F.array_distinct(F.filter(F.transform("required_skills", lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    register_strategy("llm", lambda d: d.select("job_id", "route", F.coalesce("required_skills", F.array().cast("array<string>")).alias("skills")), into=own)
+    register_strategy("dictionary", lambda d: d.select("job_id", "route", F.coalesce(trimmed, F.array().cast("array<string>")).alias("skills")), into=own)
+    routed = route(table(spark, sf, "all_jobs").where("job_id is not null"), F.col("parse_mode"), "dictionary", own)
     return routed.groupBy("job_id", "route").agg(F.max(F.size("skills")).alias("skills"))
 
 
-@query()
+_RAW = ("lever", "ashby", "smartrecruiters")
+
+
+@query("""
+with r as (select raw from lever_list union all select raw from ashby_list union all select raw from smartrecruiters_list),
+t as (select raw from r where raw is not null and json_valid(raw))
+select j.key as key, j.atom ->> '$' as text, count(*) as n from t, json_tree(t.raw) as j where j.type = 'VARCHAR' and j.key is not null and not suffix(j.fullkey, ']') group by 1, 2""")
 def json_strings(spark, sf):
-    """Every string under a name in raw records of unknown shape, to a depth of four."""
-    v = table(spark, sf, "ashby_list").where("raw is not null").select("poll_no", F.expr("try_parse_json(raw)").alias("v"))
-    level, out = v, None
-    for _ in range(4):
-        level.createOrReplaceTempView("__level")
-        nxt = level.sparkSession.sql("select poll_no, x.key, x.value as v from __level, lateral variant_explode_outer(v) as x where x.value is not null")
-        strings = nxt.where("schema_of_variant(v) = 'STRING'").select("poll_no", "key", F.expr("try_variant_get(v, '$', 'string')").alias("text"))
-        out = strings if out is None else out.unionByName(strings)
-        level = nxt.where("schema_of_variant(v) != 'STRING'").select("poll_no", "v")
-    return out.groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
+    """Every string under a name in the raw records of the three lists that keep them, however deep it lies."""
+    raw = None
+    for name in _RAW:
+        part = table(spark, sf, f"{name}_list").where("raw is not null").select(F.expr("try_parse_json(raw)").alias("v"))
+        raw = part if raw is None else raw.unionByName(part)
+    level, out = cut(raw.where("v is not null").select(F.to_json("v").alias("v"))), []
+    while True:  # a level deeper each time, until nothing nested is left; a record has as many levels as its text says
+        below = level.select(F.explode(O.children(F.col("v"))).alias("x")).select("x.*")
+        below = cut(below)
+        out.append(below.where("kind = 'STRING' and key is not null").select("key", "text"))
+        level = below.where("kind = 'NESTED'").select(F.col("text").alias("v"))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out).groupBy("key", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @F.pandas_udf(StringType())
@@ -226,4 +256,6 @@ def _normal(texts: pd.Series) -> pd.Series:
 @query()
 def normal_texts(spark, sf):
     """Texts in normal form, each distinct text once."""
-    return table(spark, sf, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies", _normal("text").alias("normal"))
+    d = table(spark, sf, "documents").where("text is not null")
+    once = d.groupBy(F.md5("text").alias("id")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("text").alias("text"))
+    return once.select("doc_id", "copies", _normal("text").alias("normal"))

@@ -40,21 +40,25 @@ class Board:
     kind: list[str] = field(default_factory=list)
     level: list[str] = field(default_factory=list)
     listed: str | None = None  #: a boolean path; false hides the posting
+    blocks: str | None = None  #: an array of headed parts of the description
+    block_paths: tuple[str, str] = ("$.text", "$.content")  #: heading and HTML of each
+    owner: str | None = None  #: the path, from the body's root, of the company that all its postings have
+    relative: bool = False  #: posted days are said as "Posted 3 Days Ago"
 
 
 # The fields of each board type's public list format.
 BOARDS = {
     "greenhouse": Board("$.jobs", ["$.id"], ["$.title"], ["$.location.name"], posted=["$.first_published"], url=["$.absolute_url"], html=["$.content"], company=["$.company_name"], workplace=["$.location.name"]),
-    "lever": Board("$", ["$.id"], ["$.text"], ["$.categories.location"], more_places="$.categories.allLocations", country=["$.country"], workplace=["$.workplaceType"], posted=["$.createdAt"], url=["$.hostedUrl", "$.applyUrl"], plain=["$.descriptionPlain", "$.additionalPlain"], kind=["$.categories.commitment"]),
+    "lever": Board("$", ["$.id"], ["$.text"], ["$.categories.location"], more_places="$.categories.allLocations", country=["$.country"], workplace=["$.workplaceType"], posted=["$.createdAt"], url=["$.hostedUrl", "$.applyUrl"], plain=["$.descriptionPlain", "$.additionalPlain"], blocks="$.lists", kind=["$.categories.commitment"]),
     "ashby": Board("$.jobs", ["$.id"], ["$.title"], ["$.location"], more_places="$.secondaryLocations", more_paths=["$.location"], country=["$.address.postalAddress.addressCountry"], remote_flag=["$.isRemote"], workplace=["$.workplaceType"], posted=["$.publishedAt"], url=["$.jobUrl"], plain=["$.descriptionPlain"], html=["$.descriptionHtml"], kind=["$.employmentType"], listed="$.isListed"),
     "smartrecruiters": Board("$.content", ["$.id"], ["$.name"], ["$.location.fullLocation"], ["$.location.city", "$.location.region", "$.location.country"], country=["$.location.country"], remote_flag=["$.location.remote"], posted=["$.releasedDate"], url_pattern="https://jobs.smartrecruiters.com/{board}/{id}", company=["$.company.name"], kind=["$.typeOfEmployment.label"], level=["$.experienceLevel.label"]),
     "recruitee": Board("$.offers", ["$.id"], ["$.title"], ["$.location"], more_places="$.locations", more_paths=["$.name"], country=["$.country_code", "$.country"], remote_flag=["$.remote"], posted=["$.published_at", "$.created_at"], url=["$.careers_url"], html=["$.description", "$.requirements"], company=["$.company_name"], kind=["$.employment_type_code"]),
     "rippling": Board("$", ["$.uuid"], ["$.name"], ["$.workLocation.label"], workplace=["$.workLocation.label"], url=["$.url"]),
-    "workable": Board("$.jobs", ["$.shortcode"], ["$.title"], [], ["$.city", "$.state", "$.country"], country=["$.country"], remote_flag=["$.telecommuting"], posted=["$.published_on"], url=["$.url"], kind=["$.employment_type"]),
+    "workable": Board("$.jobs", ["$.shortcode"], ["$.title"], [], ["$.city", "$.state", "$.country"], country=["$.country"], remote_flag=["$.telecommuting"], posted=["$.published_on"], url=["$.url"], kind=["$.employment_type"], owner="$.name"),
     "bamboohr": Board("$.result", ["$.id"], ["$.jobOpeningName"], [], ["$.location.city", "$.location.state", "$.atsLocation.country"], country=["$.atsLocation.country"], remote_flag=["$.isRemote"], url_pattern="https://{board}.bamboohr.com/careers/{id}", kind=["$.employmentType"]),
     "eightfold": Board("$.positions", ["$.id"], ["$.posting_name", "$.name"], ["$.location"], more_places="$.locations", workplace=["$.work_location_option"], posted=["$.t_create"], url=["$.canonicalPositionUrl"]),
     "oracle": Board("$.items[0].requisitionList", ["$.Id"], ["$.Title"], ["$.PrimaryLocation"], more_places="$.secondaryLocations", more_paths=["$.Name"], country=["$.PrimaryLocationCountry"], workplace=["$.WorkplaceType", "$.WorkplaceTypeCode"], posted=["$.PostedDate"], kind=["$.JobSchedule"]),
-    "workday": Board("$.jobPostings", ["$.bulletFields[0]", "$.externalPath"], ["$.title"], ["$.locationsText"], workplace=["$.locationsText"], posted=["$.postedOn"], url=["$.externalPath"]),
+    "workday": Board("$.jobPostings", ["$.bulletFields[0]", "$.externalPath"], ["$.title"], ["$.locationsText"], workplace=["$.locationsText"], posted=["$.postedOn"], url=["$.externalPath"], relative=True),
     "amazon": Board("$.jobs", ["$.id_icims", "$.id"], ["$.title"], ["$.normalized_location", "$.location"], country=["$.country_code"], posted=["$.posted_date"], url=["$.job_path"], html=["$.description", "$.basic_qualifications", "$.preferred_qualifications"], company=["$.company_name"], kind=["$.job_schedule_type"]),
     "keka": Board("$", ["$.id"], ["$.title"], more_places="$.jobLocations", more_paths=["$.city", "$.state", "$.countryCode"], posted=["$.publishedOn"], url_pattern="https://{board}.keka.com/careers/jobdetails/{id}", html=["$.description"]),
     "successfactors": Board("$.jobSearchResult", ["$.response.id"], ["$.response.unifiedStandardTitle"], ["$.response.jobLocationShort[0]", "$.response.jobLocationShort", "$.response.custprimecity", "$.response.location"], posted=["$.response.unifiedStandardStart"]),
@@ -64,23 +68,38 @@ BOARDS = {
 
 
 def _text(of: str, *paths: str) -> Column:
-    return F.coalesce(F.lit(None).cast("string"), *[F.expr(f"nullif(trim(try_variant_get({of}, '{p}', 'string')), '')") for p in paths])
+    """The first path's text that isn't blank; a path whose first element is a path too holds no text where it is an array."""
+    def one(p: str) -> Column:
+        text = F.expr(f"nullif(trim(try_variant_get({of}, '{p}', 'string')), '')")
+        return F.when(F.expr(f"try_variant_get({of}, '{p}', 'array<variant>')").isNull(), text) if f"{p}[0]" in paths else text
+
+    return F.coalesce(F.lit(None).cast("string"), *map(one, paths))
 
 
 def _joined(columns: list[Column], by: str) -> Column:
     return F.concat_ws(by, *columns)
 
 
+def posted_relative(text: Column, now: Column) -> Column:
+    """The time that "Posted Today", "Posted Yesterday", "Posted 3 Days Ago" or "30+ Days Ago" (a day more) mean, seen at `now`; else null."""
+    t = F.lower(text)
+    days = F.regexp_extract(t, r"(\d+)\+?\s+days?\s+ago", 1).try_cast("int") + F.when(F.contains(t, F.lit("+")), 1).otherwise(0)
+    n = F.when(F.contains(t, F.lit("today")), 0).when(F.contains(t, F.lit("yesterday")), 1).otherwise(days)
+    return now - F.make_dt_interval(n)
+
+
 def read_json(bodies: DataFrame, ats: str) -> DataFrame:
     """The postings of the JSON bodies of one board type.
 
-    bodies: ats, board_id, body. Texts that aren't JSON, roots of another shape, null bodies and postings without an
+    bodies: ats, board_id, body; also polled_at where days are said relative to it ("Posted 3 Days Ago"). Texts that aren't JSON, roots of another shape, null bodies and postings without an
     id give no rows (see `bad_bodies`). Places are joined by " / " without repeats; remote is null where nothing is
     said; dates stay texts, for `to_instants`.
     """
     b = BOARDS[ats]
-    v = bodies.where(F.col("ats") == ats).select("board_id", F.expr("try_parse_json(body)").alias("v"))
-    rows = v.select("board_id", F.explode_outer(F.expr(f"try_variant_get(v, '{b.root}', 'array<variant>')")).alias("j")).where("j is not null")
+    at = F.col("polled_at") if "polled_at" in bodies.columns else F.lit(None).cast("timestamp")
+    v = bodies.where(F.col("ats") == ats).select("board_id", at.alias("polled_at"), F.expr("try_parse_json(body)").alias("v"))
+    owner = _text("v", b.owner) if b.owner else F.lit(None).cast("string")
+    rows = v.select("board_id", "polled_at", owner.alias("owner"), F.explode_outer(F.expr(f"try_variant_get(v, '{b.root}', 'array<variant>')")).alias("j")).where("j is not null")
     main = _text("j", *b.place)
     if b.place_parts:
         parts = F.nullif(_joined([_text("j", p) for p in b.place_parts], ", "), F.lit(""))
@@ -100,11 +119,19 @@ def read_json(bodies: DataFrame, ats: str) -> DataFrame:
     url = _text("j", *b.url)
     if b.url_pattern:
         url = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), kv[1]), [("{board}", F.col("board_id")), ("{id}", posting)], F.lit(b.url_pattern))
-    plain = F.nullif(_joined([_text("j", p) for p in b.plain], "\n\n"), F.lit(""))
+    texts = [_text("j", p) for p in b.plain]
+    if b.blocks:
+        array = F.expr(f"try_variant_get(j, '{b.blocks}', 'array<variant>')")
+        heading, inner = (lambda x, p=p: F.coalesce(F.try_variant_get(x, p, "string"), F.lit("")) for p in b.block_paths)
+        texts[1:1] = [html_text(F.array_join(F.transform(array, lambda x: F.concat(F.lit("<h3>"), heading(x), F.lit("</h3>"), inner(x))), "\n"))]
+    plain = F.nullif(_joined(texts, "\n\n"), F.lit(""))
+    posted = _text("j", *b.posted)
+    if b.relative:
+        posted = F.coalesce(F.date_format(posted_relative(posted, F.col("polled_at")), "yyyy-MM-dd'T'HH:mm:ss'Z'"), posted)
     rich = F.nullif(_joined([html_text(_text("j", p)) for p in b.html], "\n\n"), F.lit("")) if b.html else F.lit(None).cast("string")
     out = rows.select(
         F.lit(ats).alias("ats"), "board_id", posting.alias("posting_id"), _text("j", *b.title).alias("title"), place.alias("location"), _text("j", *b.country).alias("country"),
-        remote.alias("remote"), _text("j", *b.posted).alias("posted"), url.alias("url"), F.coalesce(plain, rich).alias("description"), _text("j", *b.company).alias("company"),
+        remote.alias("remote"), posted.alias("posted"), url.alias("url"), F.coalesce(plain, rich).alias("description"), F.coalesce(_text("j", *b.company), F.col("owner")).alias("company"),
         _text("j", *b.kind).alias("employment_type"), _text("j", *b.level).alias("level"), *([F.expr(f"try_variant_get(j, '{b.listed}', 'boolean')").alias("listed")] if b.listed else []),
     ).where("posting_id is not null")
     return out.where("listed is null or listed").drop("listed") if b.listed else out
@@ -146,6 +173,9 @@ def read_html(bodies: DataFrame, link: str = r'<a[^>]+href="([^"]*/JobDetail/[^"
 
 
 def read_bodies(bodies: DataFrame) -> DataFrame:
-    """The postings of all bodies, whatever their type."""
+    """The postings of all bodies, whatever their type.
+
+    Each type reads its own rows alone: keep the bodies partitioned by `ats`, and no body is read twice.
+    """
     frames = [read_json(bodies, ats) for ats in BOARDS] + [read_xml(bodies), read_html(bodies)]
     return reduce(DataFrame.unionByName, frames)

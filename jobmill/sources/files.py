@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,22 @@ def last_of_key(log: DataFrame, key: str, order: Column) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, limit_text: int = 300) -> None:
-    """One CSV folder with a header, written whole or not at all; long texts are cut for display."""
+    """One CSV folder with a header; long texts are cut for display.
+
+    It is written beside the old one and takes its place when it is whole; until then, and where it fails, the old one stands.
+    """
     shown = [F.left(c, F.lit(limit_text)).alias(c) if t == "string" else F.array_join(c, ", ").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes]
-    df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
+    fresh, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.select(*shown).write.option("header", True).csv(fresh)
+    jvm = df.sparkSession._jvm.org.apache.hadoop.fs
+    target = jvm.Path(path)
+    files = target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.rename(target, jvm.Path(old))
+    if not files.rename(jvm.Path(fresh), target):
+        files.rename(jvm.Path(old), target)
+        raise OSError(f"{path} couldn't be replaced")
+    files.delete(jvm.Path(old), True)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
