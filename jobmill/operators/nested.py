@@ -1,7 +1,7 @@
 """Deeply nested records into related flat tables.
 
-`infer_schema` merges the shapes of raw JSON texts, `conform` brings any shape of a field into one declared nested
-type, and `flatten` explodes every array level of a nested type into a child table that carries its parent's
+`infer_shapes` finds the shapes that a field has in raw JSON texts, `merged_type` merges them with the type of the table's own column,
+`conform` brings any of the shapes into the merged type, and `flatten` explodes every array level of a nested type into a child table that carries its parent's
 surrogate key and its own ordinal.
 """
 
@@ -24,6 +24,72 @@ def infer_schema(df: DataFrame, raw: str) -> str:
     return df.agg(F.schema_of_variant_agg(F.expr(f"try_parse_json(`{raw}`)")).alias("s")).first()["s"] or "VOID"
 
 
+def infer_shapes(df: DataFrame, raw: str, name: str) -> dict[str, set[str]]:
+    """path -> kinds (array, object, scalar) that occur below the field `name` of all raw JSON texts.
+
+    The field's own path is "", a member's is its parent's with ".name" (in lower case), an array's elements' with "[]"; JSON
+    held as text is looked into. One distributed aggregate over the whole column; only distinct (path, kind) come to the driver, as
+    many as the schema has members.
+    """
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        def walk(value, path: str, out: set[str]) -> None:
+            if isinstance(value, str) and isinstance(inner := _loads(value), (dict, list)):
+                value = inner
+            if isinstance(value, dict):
+                out.add(f"object {path}")
+                for k, v in value.items():
+                    walk(v, f"{path}.{k.lower()}", out)
+            elif isinstance(value, list):
+                out.add(f"array {path}")
+                for v in value:
+                    walk(v, path + "[]", out)
+            elif value is not None:
+                out.add(f"scalar {path}")
+
+        def one(text: str) -> list[str]:
+            out: set[str] = set()
+            record = _loads(text)
+            if isinstance(record, dict):
+                walk(_lookup(record, name), "", out)
+            return sorted(out)
+
+        return texts.map(one)
+
+    shapes: dict[str, set[str]] = {}
+    for r in df.where(F.col(raw).isNotNull()).select(F.explode(found(raw)).alias("s")).distinct().collect():
+        kind, _, path = r["s"].partition(" ")
+        shapes.setdefault(path, set()).add(kind)
+    return shapes
+
+
+def merged_type(native: DataType, shapes: dict[str, set[str]], name: str, path: str = "") -> DataType:
+    """The type of a table's own column, with room for every shape that its field has in raw texts.
+
+    A text that is also an array gets a field `<name>_items` beside it; a struct that is also a scalar gives that to its field
+    named most like the struct itself. Members that the table's own type lacks are left out.
+    """
+    if isinstance(native, ArrayType):
+        # a lone element stands for an array of one
+        inner = {p: set(k) for p, k in shapes.items()}
+        for p, kinds in shapes.items():
+            if p.startswith(path + "."):
+                inner.setdefault(path + "[]" + p.removeprefix(path), set()).update(kinds)
+        return ArrayType(merged_type(native.elementType, inner, name, path + "[]"))
+    if not isinstance(native, StructType):
+        return native
+    alike = next((f.name for f in native if f.name in name or name in f.name), None)
+    fields = []
+    for f in native:
+        below = f"{path}.{f.name}"
+        metadata = {"scalar": True} if f.name == alike and "scalar" in shapes.get(path, ()) and isinstance(f.dataType, StringType) else {}
+        fields.append(StructField(f.name, merged_type(f.dataType, shapes, f.name, below), True, metadata))
+        if isinstance(f.dataType, StringType) and "array" in shapes.get(below, ()):
+            fields.append(StructField(f"{f.name}_items", ArrayType(StringType()), True, {"array_of": f.name}))
+    return StructType(fields)
+
+
 def _loads(text: str):
     try:
         return json.loads(text)

@@ -2,61 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, StructField, StructType
 
 from jobmill.functions.text import blank_to_null, html_item, html_items, posting_id, squeeze
-from jobmill.operators.nested import conform, flatten, string_field
+from jobmill.operators.nested import conform, flatten, infer_shapes, merged_type
 from jobmill.operators.snapshots import change_events, number_snapshots
 from jobmill.operators.timestamps import to_instants
 from jobmill.session import table
 
 KEYS = ["poll_no", "posting_id"]
 
-LEVER_BLOCKS = ArrayType(
-    StructType([string_field("text"), string_field("content"), StructField("items", ArrayType(StringType()), True, {"array_of": "content"})])
-)
-LEVER_RAW = StructType().add("lists", LEVER_BLOCKS)
-ASHBY_RAW = StructType().add("secondarylocations", ArrayType(StructType([string_field("location", scalar=True)])))
-SMART_RAW = StructType().add("location", StructType([string_field("city"), string_field("region"), string_field("country"), string_field("fulllocation", scalar=True)]))
-
-
 def _postings(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, f"{name}_list").withColumn("posting_id", posting_id("id")).where("poll_no is not null and posting_id is not null")
 
 
+def nested_column(rows: DataFrame, column: str) -> DataFrame:
+    """`rows` with `column` in its merged type: as the table has it, or else, where it is null, from `raw` in whatever shape."""
+    merged = merged_type(rows.schema[column].dataType, infer_shapes(rows.where(F.col(column).isNull()), "raw", column), column)
+    own = _widened(F.col(column), merged)
+    other = conform(F.when(F.col(column).isNull(), F.col("raw")), StructType([StructField(column, merged)]))[column]
+    return rows.withColumn(column, F.coalesce(own, other))
+
+
+def _widened(value: Column, kind: DataType) -> Column:
+    """A value of the table's own type in its merged type: what only raw texts have is null."""
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _widened(x, kind.elementType)) if isinstance(kind.elementType, (ArrayType, StructType)) else value
+    if not isinstance(kind, StructType):
+        return value
+    fields = [(F.lit(None).cast(f.dataType) if "array_of" in f.metadata else _widened(value[f.name], f.dataType)).alias(f.name) for f in kind]
+    return F.when(value.isNotNull(), F.struct(*fields))
+
+
 def lever_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """`lists` (one row a block) and `lists.items` (one row an element of a content array) of lever_list."""
-    native = F.transform("lists", lambda b: F.struct(b["text"].alias("text"), b["content"].alias("content"), F.lit(None).cast("array<string>").alias("items")))
-    rows = _postings(spark, sf_dir, "lever").select(*KEYS, F.coalesce(native, conform(F.col("raw"), LEVER_RAW)["lists"]).alias("lists"))
-    return flatten(rows, KEYS, "lists")
+    """`lists` (one row a block) and `lists.content_items` (one row an element of a content array) of lever_list."""
+    return flatten(nested_column(_postings(spark, sf_dir, "lever").select(*KEYS, "lists", "raw"), "lists"), KEYS, "lists")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat child rows of lever, ashby and smartrecruiters postings (TESTDATA.md, problem 4)."""
     lever = lever_tables(spark, sf_dir)
-    from_html = lever["lists"].where("content is not null").select(*KEYS, F.col("ordinal").alias("child_no"), F.posexplode(html_items("content")).alias("item_no", "item_text"))
-    element = html_item("value")
-    arrays = lever["lists.items"].withColumn("item_text", element).where("item_text is not null")
-    arrays = arrays.groupBy(*KEYS, F.col("0_no").alias("child_no")).agg(F.sort_array(F.collect_set(F.struct("ordinal", "item_text"))).alias("items"))
-    from_arrays = arrays.select(*KEYS, "child_no", F.posexplode("items").alias("item_no", "item")).select(*KEYS, "child_no", "item_no", F.col("item.item_text").alias("item_text"))
-
-    ashby = _postings(spark, sf_dir, "ashby").select(
-        *KEYS,
-        F.coalesce(F.transform("secondarylocations", lambda x: F.struct(x["location"].alias("location"))), conform(F.col("raw"), ASHBY_RAW)["secondarylocations"]).alias("secondarylocations"),
-    )
+    rows = lever["lists"].where("content is not null").select(*KEYS, F.col("ordinal").alias("child_no"), F.posexplode(html_items("content")).alias("item_no", "item_text"))
+    if "lists.content_items" in lever:
+        arrays = lever["lists.content_items"].withColumn("item_text", html_item("value")).where("item_text is not null")
+        arrays = arrays.groupBy(*KEYS, F.col("0_no").alias("child_no")).agg(F.sort_array(F.collect_set(F.struct("ordinal", "item_text"))).alias("items"))
+        rows = rows.unionByName(arrays.select(*KEYS, "child_no", F.posexplode("items").alias("item_no", "item")).select(*KEYS, "child_no", "item_no", F.col("item.item_text").alias("item_text")))
+
+    ashby = nested_column(_postings(spark, sf_dir, "ashby").select(*KEYS, "secondarylocations", "raw"), "secondarylocations")
     named = flatten(ashby, KEYS, "secondarylocations", drop_element=lambda x: F.coalesce(squeeze(x["location"]) != "", F.lit(False)))["secondarylocations"]
     ashby_rows = named.select(*KEYS, F.col("ordinal").alias("child_no"), F.lit(0).alias("item_no"), squeeze("location").alias("item_text"))
 
-    place = F.col("location")
-    native = F.when(place.isNotNull(), F.struct(*[place[f].alias(f) for f in ("city", "region", "country", "fulllocation")]))
-    smart = _postings(spark, sf_dir, "smartrecruiters").select(*KEYS, F.coalesce(native, conform(F.col("raw"), SMART_RAW)["location"]).alias("place"))
+    smart = nested_column(_postings(spark, sf_dir, "smartrecruiters").select(*KEYS, "location", "raw"), "location").select(*KEYS, F.col("location").alias("place"))
     parts = squeeze(F.concat_ws(", ", *[blank_to_null(F.col("place")[f]) for f in ("city", "region", "country")]))
     text = F.coalesce(blank_to_null(squeeze(F.col("place")["fulllocation"])), F.when(parts != "", parts))
     smart_rows = smart.select(*KEYS, F.lit(0).alias("child_no"), F.lit(0).alias("item_no"), text.alias("item_text")).where("item_text is not null")
 
-    rows = from_html.unionByName(from_arrays).unionByName(ashby_rows).unionByName(smart_rows)
+    rows = rows.unionByName(ashby_rows).unionByName(smart_rows)
     return rows.select("poll_no", "posting_id", F.col("child_no").cast("int"), F.col("item_no").cast("int"), "item_text").distinct()
 
 

@@ -228,3 +228,20 @@ def test_tiny_snapshots(spark):
     got = rows(change_events(listed, ["o", "k"], ["v"]).select("k", "snapshot", "change_kind"))
     assert got == {("a", 2, "removed"), ("a", 3, "added"), ("b", 2, "changed"), ("b", 3, "removed")}
     assert change_events(listed.limit(0), ["o", "k"], ["v"]).count() == 0
+
+
+def test_shapes_are_inferred_and_merged(spark):
+    from jobmill.operators.nested import infer_shapes, merged_type
+    from jobmill.plans.core_problems import nested_column
+
+    raws = ['{"d": {"Lists": {"text": "a", "content": ["x", null]}}}', '{"lists": "[{\\"text\\": \\"b\\", \\"content\\": \\"y\\"}]"}', "no json", "[1]", None, '{"lists": null}', '{"other": 1}']
+    schema = "k int, lists array<struct<text:string,content:string>>, raw string"
+    df = spark.createDataFrame([(n, None, r) for n, r in enumerate(raws)] + [(7, [("c", "z"), None], '{"lists": []}')], schema)
+    shapes = infer_shapes(df, "raw", "lists")
+    assert shapes[".content"] == {"array"} and shapes["[].content"] == {"scalar"} and shapes[""] == {"object", "array"}
+    kind = merged_type(df.schema["lists"].dataType, shapes, "lists")
+    assert [f.name for f in kind.elementType] == ["text", "content", "content_items"]
+    got = {r.k: None if r.lists is None else [None if x is None else tuple(x) for x in r.lists] for r in nested_column(df, "lists").collect()}
+    assert got[0] == [("a", None, ["x", None])] and got[1] == [("b", "y", None)] and got[7] == [("c", "z", None), None]
+    assert all(not got[k] for k in (2, 3, 4, 5, 6))
+    assert nested_column(df.limit(0), "lists").count() == 0
