@@ -46,6 +46,11 @@ def pick(df: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def pick_n(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The first `n` rows of each key in `order`; whatever the size of a key, its rows are ranked by ranges."""
+    return running_total(df, key, order, F.lit(1), "__n").where(F.col("__n") <= n).drop("__n")
+
+
 def backlog(df: DataFrame, key: list[str], *done: DataFrame) -> DataFrame:
     """The rows that no table of `done` has the key of."""
     return reduce(lambda left, right: left.join(right.select(*key), key, "left_anti"), done, df)
