@@ -163,7 +163,7 @@ def _near(left: DataFrame, right: DataFrame) -> DataFrame:
     a `scope`, only pairs of the same."""
     rest = [c for c in right.columns if c not in ("form", "scope")]
     on = ["band", "hash", *(["scope"] if "scope" in left.columns and "scope" in right.columns else [])]
-    pairs = spread(_banded(left), *on).join(spread(_banded(right).withColumnRenamed("form", "other"), *on), on)
+    pairs = spread(_banded(spread(left, "form")), *on).join(spread(_banded(spread(right, "form")).withColumnRenamed("form", "other"), *on), on)
     close = pairs.where(F.levenshtein("form", "other", 4) >= 0)  # two swaps of neighbours are four plain edits
     return spread(close.select(*left.columns, "other", *rest), "form").distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmill.llm.tokenizer import DEFAULT_PATH, encoder
+from jobmill.llm.tokenizer import DEFAULT_PATH, encoder, ship_vocabulary
 from jobmill.session import cut
 
 CAPACITY = 2048
@@ -128,6 +128,7 @@ def _merge(rest: DataFrame, capacity: int, open_windows: int) -> DataFrame:
 
 def token_counts(df: DataFrame, key: str, text: str, path: str = DEFAULT_PATH) -> DataFrame:
     """`key` and `n_tokens` of every row; null and empty texts have 0."""
+    ship_vocabulary(df.sparkSession, path)
     schema = df.select(key).schema.add("n_tokens", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

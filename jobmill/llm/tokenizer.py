@@ -10,12 +10,14 @@ is given up at most once, so the time is linear in the text, however long a word
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
 DEFAULT_PATH = "/opt/tokenizers/byte_bpe_50k.json"
@@ -162,8 +164,16 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file in each worker."""
-    return Encoder(path)
+    """One encoder for each vocabulary file in each worker: the file at `path`, or else the one that came with the job."""
+    return Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def ship_vocabulary(spark: SparkSession, path: str) -> None:
+    """Sends the vocabulary file along with the job, once for each context, so that only the driver must have it."""
+    context = spark.sparkContext
+    if os.path.exists(path) and path not in (shipped := getattr(context, "_jobmill_files", set())):
+        context.addFile(path)
+        context._jobmill_files = shipped | {path}
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str = DEFAULT_PATH) -> DataFrame:
@@ -172,6 +182,7 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = DEFAULT_PATH)
     Null and empty texts give an empty array; rows with a null key are kept; repeated rows stay repeated; other
     columns of `df` are left out. No shuffle, no broadcast: one pass over the rows, in Arrow batches.
     """
+    ship_vocabulary(df.sparkSession, path)
     schema = df.select(key).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

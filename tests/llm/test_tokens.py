@@ -100,3 +100,13 @@ def test_windows_that_take_one_item_are_never_merged(spark):
 def test_only_empty_items(spark):
     got = pack(spark.range(1000, numPartitions=3).selectExpr("id", "cast(null as int) as size"), "id", "size").collect()
     assert len(got) == 1000 and len({r.container for r in got}) <= 3 and len({r.id for r in got}) == 1000
+
+
+def test_the_vocabulary_comes_with_the_job(spark, tmp_path, library):
+    import shutil
+
+    path = str(tmp_path / "only_on_the_driver.json")
+    shutil.copy(DEFAULT_PATH, path)
+    df = encode_column(spark.createDataFrame([(1, "Hello there")], "k int, t string"), "k", "t", path)
+    (tmp_path / "only_on_the_driver.json").unlink()
+    assert df.first().ids == library("Hello there")
