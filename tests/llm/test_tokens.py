@@ -102,11 +102,16 @@ def test_only_empty_items(spark):
     assert len(got) == 1000 and len({r.container for r in got}) <= 3 and len({r.id for r in got}) == 1000
 
 
-def test_the_vocabulary_comes_with_the_job(spark, tmp_path, library):
-    import shutil
-
-    path = str(tmp_path / "only_on_the_driver.json")
-    shutil.copy(DEFAULT_PATH, path)
-    df = encode_column(spark.createDataFrame([(1, "Hello there")], "k int, t string"), "k", "t", path)
-    (tmp_path / "only_on_the_driver.json").unlink()
-    assert df.first().ids == library("Hello there")
+def test_the_vocabulary_comes_with_the_job(spark):
+    from pyspark import SparkFiles
+    from pyspark.sql import functions as F
+
+    encode_column(spark.createDataFrame([(1, "Hello there")], "k int, t string"), "k", "t").first()
+
+    @F.pandas_udf("boolean")
+    def there(names):
+        import os
+
+        return names.map(lambda n: os.path.exists(SparkFiles.get(n)))
+
+    assert spark.createDataFrame([(DEFAULT_PATH.rpartition("/")[2],)], "n string").select(there("n")).first()[0]
