@@ -172,6 +172,18 @@ def read_html(bodies: DataFrame, link: str = r'<a[^>]+href="([^"]*/JobDetail/[^"
     return first.select(F.lit("avature").alias("ats"), "board_id", "posting_id", F.col("f.title").alias("title"), *[empty[c] for c in cols], F.col("f.url").alias("url"), *[empty[c] for c in ("description", "company", "employment_type", "level")])
 
 
+def read_details(bodies: DataFrame) -> DataFrame:
+    """What the page of a single posting says in its JSON-LD (type JobPosting, alone or in a list): posting_id, title, company, posted,
+    location, employment_type, description. bodies: posting_id, body; pages without such data give nulls."""
+    block = F.regexp_extract("body", r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    v = bodies.withColumn("b", block).select("posting_id", F.expr("try_parse_json(b)").alias("v"))
+    one = v.select("posting_id", F.coalesce(F.expr("try_variant_get(v, '$[0]', 'variant')"), F.col("v")).alias("v"))
+    place = lambda of: [_text("v", f"{of}.address.{x}") for x in ("addressLocality", "addressRegion", "addressCountry")]
+    joined = lambda of: F.nullif(_joined(place(of), ", "), F.lit(""))
+    return one.select("posting_id", _text("v", "$.title").alias("title"), F.coalesce(_text("v", "$.hiringOrganization.name"), F.when(F.expr("try_variant_get(v, '$.hiringOrganization', 'map<string,variant>')").isNull(), _text("v", "$.hiringOrganization"))).alias("company"), _text("v", "$.datePosted").alias("posted"),
+                      F.coalesce(joined("$.jobLocation"), joined("$.jobLocation[0]")).alias("location"), _text("v", "$.employmentType").alias("employment_type"), html_text(_text("v", "$.description")).alias("description"))
+
+
 def read_bodies(bodies: DataFrame) -> DataFrame:
     """The postings of all bodies, whatever their type.
 
