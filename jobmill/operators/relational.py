@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobmill.session import cut
+from jobmill.session import cut, spread
 
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -143,8 +143,9 @@ def jaccard_pairs(df: DataFrame, group: list[str], key: str, tokens: str, simila
 
 def _with_bigrams(df: DataFrame, c: str, name: str) -> DataFrame:
     """Adds `name`: the pairs of neighbouring characters of a text, the n-th of a kind told apart by its number."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
-    nth = F.transform("__pairs", lambda p, i: F.concat(p, F.size(F.filter(F.slice("__pairs", F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
+    # in sorted order a pair's number is its distance from the first of its kind
+    nth = F.transform("__pairs", lambda p, i: F.concat(p, (i - F.array_position("__pairs", p)).cast("string")))
     return df.withColumn("__pairs", pairs).withColumn(name, nth).drop("__pairs")
 
 
@@ -152,36 +153,45 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, rati
     """`left` rows with the most similar `right` title (`match`, its `ratio`) of equal key, where it is similar enough.
 
     The measure is the share of matching blocks (2 * matched / total length; ties: the greater title in binary
-    order). Distinct titles only. With at most 1 - ratio of the characters unmatched there are at most so many blocks
-    plus one, so two titles share at least (1.5 * ratio - 1) * total - 1 pairs of neighbouring characters; so only
-    titles that share one of their rarest pairs are compared (prefix filter, exact), never all of a key.
+    order). Distinct titles only. A title that the right side has too is its own match; the others are compared. With at most
+    1 - ratio of the characters unmatched there are at most so many blocks plus one, so two titles share at least
+    (1.5 * ratio - 1) * total - 1 pairs of neighbouring characters; only titles that share one of their rarest pairs, early
+    enough to reach that (prefix and positional filter, exact), and whose lengths allow the ratio are measured.
     """
 
     @F.pandas_udf("double")
     def measure(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+        out, matcher, last = [], difflib.SequenceMatcher(None), None
         for x, y in zip(a, b):
-            m = difflib.SequenceMatcher(None, x, y)
-            out.append(m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0)
+            if y != last:  # what is known of the second text is kept while it stays
+                matcher.set_seq2(y)
+                last = y
+            matcher.set_seq1(x)
+            out.append(matcher.ratio() if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio else 0.0)
         return pd.Series(out, dtype="float64")
 
     measure = measure.asNondeterministic()  # else its filter is pushed below the distinct step
     sides = [df.select(key, F.col(title).alias("__t")).dropna().distinct().withColumn("__side", F.lit(n)) for n, df in enumerate((left, right))]
-    grams = _with_bigrams(sides[0].unionByName(sides[1]), "__t", "__gs").select(key, "__t", "__side", F.explode("__gs").alias("__g"))
-    rarity = grams.groupBy(key, "__g").agg(F.count(F.lit(1)).alias("__df"))
-    ordered = grams.join(rarity, [key, "__g"]).groupBy(key, "__t", "__side").agg(F.sort_array(F.collect_list(F.struct("__df", "__g"))).alias("__gs"))
+    same = sides[0].join(sides[1].select(key, "__t"), [key, "__t"], "left_semi").select(key, F.col("__t").alias(title), F.col("__t").alias("match"), F.lit(1.0).alias("ratio"))
+    odd = sides[0].join(sides[1].select(key, "__t"), [key, "__t"], "left_anti").select(key, "__t", "__side")
+    grams = cut(_with_bigrams(spread(odd.unionByName(sides[1]), key, "__t"), "__t", "__gs").select(key, "__t", "__side", F.explode("__gs").alias("__g")))
+    rarity = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
+    ordered = grams.join(rarity, "__g").groupBy(key, "__t", "__side").agg(F.sort_array(F.collect_list(F.struct("__df", "__g"))).alias("__gs"))
     share = 1.5 * ratio - 1
     shortest = F.length("__t") * (1 + ratio / (2 - ratio))  # with the shortest partner that allows the ratio
     needed = F.greatest(F.floor(shortest * share) - 1, F.lit(0))
     prefix = F.greatest(F.size("__gs") - needed + 1, F.lit(1)).cast("int")
-    first = ordered.select(key, "__t", "__side", F.explode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__g"))
-    l = first.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"))  # noqa: E741
-    r = first.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"))
+    first = ordered.select(key, "__t", "__side", F.size("__gs").alias("__m"), F.posexplode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__at", "__g"))
+    l = first.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"), F.col("__m").alias("__lm"), F.col("__at").alias("__la"))  # noqa: E741
+    r = first.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"), F.col("__m").alias("__rm"), F.col("__at").alias("__ra"))
     x, y = F.length("__l"), F.length("__r")
-    possible = 2 * F.least(x, y) >= ratio * (x + y)
-    scored = l.join(r, [key, "__g"]).where(possible).select(key, "__l", "__r").distinct().withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)
+    possible = (2 * F.least(x, y) >= ratio * (x + y)) & (F.least(F.col("__lm") - F.col("__la"), F.col("__rm") - F.col("__ra")) >= F.floor((x + y) * share) - 1)
+    near = cut(spread(l.join(r, [key, "__g"]).where(possible).select(key, "__l", "__r"), key, "__r").distinct())
+    # what doesn't match must be deleted or inserted, so that the edit distance is no more than its length
+    near = near.where(F.levenshtein("__l", "__r") <= F.floor((x + y) * (1 - ratio) + 1e-9))
+    scored = near.withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)
     best = scored.groupBy(key, "__l").agg(F.max(F.struct("ratio", F.col("__r").alias("match"))).alias("b"))
-    return best.select(key, F.col("__l").alias(title), F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio"))
+    return same.unionByName(best.select(key, F.col("__l").alias(title), F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio")))
 
 
 def set_cover(items: DataFrame, group: str, item: str, covers: str, weights: dict[str, float] | None = None, most: int = 5, width: int = 20) -> DataFrame:

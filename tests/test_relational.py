@@ -103,8 +103,13 @@ def test_rules(spark):
 
 
 def _plain(df: pd.DataFrame) -> list:
+    def one(v):
+        if hasattr(v, "__len__") and not isinstance(v, (str, bytes)):
+            return [one(x) for x in v]
+        return None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
     df = df[sorted(df.columns)].astype(object)
-    return sorted(repr(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r)) for r in df.itertuples(index=False))
+    return sorted(repr([one(v) for v in r]) for r in df.itertuples(index=False))
 
 
 def _names():
