@@ -159,53 +159,55 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of a form of `left` and an `other` of `right` that share a MinHash band and differ by a few slips; where both have
-    a `scope`, only pairs of the same."""
-    rest = [c for c in right.columns if c not in ("form", "scope")]
-    on = ["band", "hash", *(["scope"] if "scope" in left.columns and "scope" in right.columns else [])]
+    """Pairs of a form of `left` and an `other` of `right` that share kind and a MinHash band and differ by a few slips; where both
+    have a `scope`, only pairs of the same."""
+    on = ["kind", "band", "hash", *(["scope"] if "scope" in left.columns and "scope" in right.columns else [])]
+    rest = [c for c in right.columns if c not in ("form", *on)]
     pairs = spread(_banded(spread(left, "form")), *on).join(spread(_banded(spread(right, "form")).withColumnRenamed("form", "other"), *on), on)
     close = pairs.where(F.levenshtein("form", "other", 4) >= 0)  # two swaps of neighbours are four plain edits
     return spread(close.select(*left.columns, "other", *rest), "form").distinct().withColumn("slips", _slips("form", "other")).where("slips < 99")
 
 
 def link_forms(typed: DataFrame, listed: DataFrame) -> DataFrame:
-    """(scope, form, name, slips, n): the name that each typed form stands for.
-
-    typed: `scope` and `form`, together distinct, `n` (rows with it), `heads` (array: the form and what it is shortened to) and
-    `parts` (array: runs of its words, under which a listed form may stand within it, at the cost of one slip); listed:
-    `form`, `name`, `weight`, one row for each form. A listed form stands for its own name with 0 slips; other forms
-    are blocked with the listed ones by MinHash bands, and the verified pair with the fewest slips wins (then the
-    heavier name, then the first in binary order). Forms near nothing listed are held against each other within their scope: a
-    form that is the head of a longer one takes the longest, and one within a few slips of a more frequent one (ties:
-    the greater in binary order) takes that. Runs on distinct forms only, the blocking on those not listed.
+    """(kind, scope, form, name, slips, n): the name that each typed form stands for.
+
+    typed: `kind` (of attribute: forms of one kind never meet another's), `scope` and `form`, together distinct, `n` (rows with it),
+    `heads` (array: the form and what it is shortened to) and `parts` (array: runs of its words, under which a listed form may stand
+    within it, at the cost of one slip); listed: `kind`, `form`, `name`, `weight`, one row for each kind and form. A listed form stands
+    for its own name with 0 slips; other forms are blocked with the listed ones by MinHash bands, and the verified pair with the
+    fewest slips wins (then the heavier name, then the first in binary order). Forms near nothing listed are held against each other
+    within their scope: a form that is the head of a longer one takes the longest, and one within a few slips of a more frequent
+    one (ties: the greater in binary order) takes that. Runs on distinct forms only, the blocking on those not listed.
     """
-    known = typed.join(listed.select("form", "name"), "form", "left")
-    odd = cut(known.where("name is null and form != ''").select("scope", "form", "n", "heads", "parts"))
-    near = _near(odd.select("form").distinct(), listed.where("form != ''")).select("form", "slips", F.lit(0).alias("size"), "weight", "name")
-    within = odd.select("form", F.explode("parts").alias("part")).distinct().join(listed.withColumnRenamed("form", "part"), "part")
-    near = near.unionByName(within.select("form", F.lit(1).alias("slips"), F.length("part").alias("size"), "weight", "name"))
-    best = near.groupBy("form").agg(F.min(F.struct("slips", (-F.col("size")).alias("short"), (-F.col("weight")).alias("light"), "name")).alias("best"))
-    linked = cut(odd.join(best, "form", "left"))
-    alone = linked.where("best is null").select("scope", "form", "n", "heads")
+    key, own = ["kind", "form"], ["kind", "scope", "form"]
+    known = typed.join(listed.select(*key, "name"), key, "left")
+    odd = cut(known.where("name is null and form != ''").select(*own, "n", "heads", "parts"))
+    near = _near(odd.select(*key).distinct(), listed.where("form != ''")).select(*key, "slips", F.lit(0).alias("size"), "weight", "name")
+    within = odd.select(*key, F.explode("parts").alias("part")).distinct().join(listed.withColumnRenamed("form", "part"), ["kind", "part"])
+    near = near.unionByName(within.select(*key, F.lit(1).alias("slips"), F.length("part").alias("size"), "weight", "name"))
+    best = near.groupBy(*key).agg(F.min(F.struct("slips", (-F.col("size")).alias("short"), (-F.col("weight")).alias("light"), "name")).alias("best"))
+    linked = cut(odd.join(best, key, "left"))
+    alone = linked.where("best is null").select(*own, "n", "heads")
     settled = (
         known.where("name is not null or form = ''")
-        .select("scope", "form", F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
-        .unionByName(linked.where("best is not null").select("scope", "form", F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
+        .select(*own, F.coalesce("name", "form").alias("name"), F.lit(0).alias("slips"), "n")
+        .unionByName(linked.where("best is not null").select(*own, F.col("best.name").alias("name"), F.col("best.slips").alias("slips"), "n"))
     )
-    whole = alone.select("scope", F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
-    whole = whole.groupBy("scope", "form").agg(F.max(F.struct(F.length("name").alias("size"), "weight", "name")).alias("top")).select("scope", "form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
-    pairs = _near(alone.select("scope", "form"), whole).where("slips > 0 and form != name")
-    other = pairs.groupBy("scope", "form").agg(F.max(F.struct("weight", "name", "slips")).alias("other"))
-    held = alone.join(whole, ["scope", "form"], "left").join(other, ["scope", "form"], "left")
+    whole = alone.select("kind", "scope", F.col("form").alias("name"), F.col("n").alias("weight"), F.explode("heads").alias("form"))
+    whole = whole.groupBy(*own).agg(F.max(F.struct(F.length("name").alias("size"), "weight", "name")).alias("top")).select(*own, F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
+    pairs = _near(alone.select(*own), whole).where("slips > 0 and form != name")
+    other = pairs.groupBy(*own).agg(F.max(F.struct("weight", "name", "slips")).alias("other"))
+    held = alone.join(whole, own, "left").join(other, own, "left")
     moves = F.struct(F.col("other.weight"), F.col("other.name")) > F.struct(F.col("weight"), F.col("name"))
     moves = F.coalesce(moves, F.lit(False))
-    held = held.select("scope", "form", F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
+    held = held.select(*own, F.when(moves, F.col("other.name")).otherwise(F.coalesce("name", "form")).alias("name"), F.when(moves, F.col("other.slips")).otherwise(0).alias("slips"), "n")
     return settled.unionByName(held)
 
 
-def _listed(rows: DataFrame, form: Column, name: Column) -> DataFrame:
-    counted = rows.select(form.alias("form"), name.alias("name")).groupBy("form", "name").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.groupBy("form").agg(F.max(F.struct("weight", "name")).alias("top")).select("form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
+def _listed(rows: DataFrame) -> DataFrame:
+    """Of rows with `kind`, `form` and `name`, the most frequent name of each form and its `weight`."""
+    counted = rows.groupBy("kind", "form", "name").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.groupBy("kind", "form").agg(F.max(F.struct("weight", "name")).alias("top")).select("kind", "form", F.col("top.name").alias("name"), F.col("top.weight").alias("weight"))
 
 
 FEATURES = ["firm", "post", "same_city", "other_city", "near", "far", "undated", "same_pay", "other_pay", "same_years", "other_years", "same_level", "other_level"]
@@ -319,21 +321,29 @@ def resolved(df: DataFrame, authoritative: Column) -> DataFrame:
     parsed = cut(parsed)
     own = parsed.where("own")
     heads = F.transform(F.sequence(F.least(F.lit(2), F.size("words")), F.size("words")), lambda n: F.array_join(F.slice("words", F.lit(1), n), ""))
-    firms = cut(_listed(own.select("firm", F.explode(heads).alias("form")), F.col("form"), F.col("firm")))
+    firms = cut(_listed(own.select(F.lit("firm").alias("kind"), F.explode(heads).alias("form"), F.col("firm").alias("name"))))
     longest = firms.agg(F.max(F.length("form"))).first()[0] or 0
     count = F.size("words")
     last = lambda i: F.least(count, i + longest - 1)  # noqa: E731  # a word has a letter at least: no longer run can be listed
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))), lambda i: F.transform(F.sequence(F.least(i + 1, last(i)), last(i)), lambda n: F.array_join(F.slice("words", i, n - i + 1), ""))))
     named = parsed.withColumns({"firm_heads": heads, "firm_parts": F.when(count > 2, F.array_distinct(F.filter(runs, lambda r: F.length(r) <= longest))).otherwise(F.array().cast("array<string>"))}).drop("words")
-    for column, listed in {"firm": firms, "post": _listed(own, F.col("post"), F.col("post")), "team": _listed(own.where("team != ''"), F.col("team"), F.col("team"))}.items():
-        firm = column == "firm"
-        scope = F.lit("") if firm else F.col("firm_name")
-        shorter = F.min("firm_heads") if firm else F.array(F.first(column))
-        parts = F.min("firm_parts") if firm else F.array().cast("array<string>")
-        typed = named.groupBy(scope.alias("scope"), F.col(column).alias("form")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("heads"), parts.alias("parts"))
-        key = F.concat_ws("\x1f", scope, F.col(column))
-        dim = cut(link_forms(typed, listed)).select(F.concat_ws("\x1f", "scope", "form").alias("__key"), F.col("name").alias(f"{column}_name"), F.col("slips").alias(f"{column}_slips"), "n")
-        named = join_counted(named.withColumn("__key", key), dim, "__key", "n").drop("__key")
+
+    def linked(rows: DataFrame, columns: list[str], scope: Column, listed: DataFrame) -> DataFrame:
+        """`rows` with the names of these columns' forms and the slips on the way to them."""
+        firm = columns == ["firm"]
+        typed = reduce(DataFrame.unionByName, [
+            rows.groupBy(F.lit(c).alias("kind"), scope.alias("scope"), F.col(c).alias("form")).agg(F.count(F.lit(1)).alias("n"), (F.min("firm_heads") if firm else F.array(F.first(c))).alias("heads"), (F.min("firm_parts") if firm else F.array().cast("array<string>")).alias("parts"))
+            for c in columns
+        ])
+        dims = cut(link_forms(typed, listed)).withColumn("__key", F.concat_ws("\x1f", "scope", "form"))
+        for c in columns:
+            dim = dims.where(F.col("kind") == c).select("__key", F.col("name").alias(f"{c}_name"), F.col("slips").alias(f"{c}_slips"), "n")
+            rows = join_counted(rows.withColumn("__key", F.concat_ws("\x1f", scope, F.col(c))), dim, "__key", "n").drop("__key")
+        return rows
+
+    named = linked(named, ["firm"], F.lit(""), firms).drop("firm_heads", "firm_parts")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("form"), F.col(c).alias("name")) for c in ("post", "team")]))
+    named = linked(cut(named), ["post", "team"], F.col("firm_name"), _listed(own.select(each.alias("x")).select("x.*").where("form != ''")))
     post = F.concat_ws(" / ", "post_name", F.nullif("team_name", F.lit("")))
     records = named.select("job_id", "site", "own", F.md5(F.concat_ws("\x1f", "firm_name", "post_name", "team_name")).alias("block"), F.col("firm_name").alias("firm"), post.alias("post"),
                            "firm_slips", (F.col("post_slips") + F.col("team_slips")).alias("post_slips"), "parts", *EVIDENCE)

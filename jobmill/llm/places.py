@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from jobmill.llm.canonical import edits, similar_names
+from jobmill.llm.canonical import edits
 from jobmill.operators.skew import join_counted
-from jobmill.session import cut
+from jobmill.session import cut, spread
 
 EVIDENCE = 4  #: blocks (or places) that must agree on the city of a form that looks like none
 SHARE = 0.5  #: and their least share of the form's blocks (places)
@@ -62,6 +62,21 @@ def _slips(forms: pd.Series, cities: pd.Series) -> pd.Series:
 _slips = _slips.asNondeterministic()
 
 
+def variants(name: str) -> list[str]:
+    """The name and what is left of it without any one letter, or any two where it has five or more: names that a slip or two
+    tell apart have one in common."""
+    out, last = {name}, {name}
+    for _ in range(2 if len(name) >= 5 else 1):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out |= last
+    return sorted(out)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _variants(names: pd.Series) -> pd.Series:
+    return names.map(variants)
+
+
 def gazetteer(own: DataFrame) -> DataFrame:
     """(part, kind, n, country) of what boards' own places (column `parts`) name: the first part of several is a city, the last a
     country, those between are regions; a single part is a city unless it is known as a country. A name's kind is the first of
@@ -98,29 +113,31 @@ def with_cities(records: DataFrame) -> DataFrame:
     fits = F.coalesce(F.col("country") == F.col("city_country"), F.lit(True))
     odd = known.where("odd is not null").groupBy("block", "odd").agg(F.max("country").alias("country"))
     cities = known.where("city is not null").groupBy("block", "city").agg(F.max("country").alias("city_country"))
-    near = cut(odd.join(cities, "block").where(fits).select("block", "odd", "city"))
-    forms = cut(odd.select("odd").distinct())
+    near = odd.join(cities, "block").where(fits).select("block", "odd", "city")
+    forms = odd.select("odd").distinct()
     # what the form contains: the longest listed name that stands in it as whole words
     words = F.split("odd", " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " "))))
     held = forms.select("odd", F.explode(runs).alias("part")).join(names.where("kind = 'city'").select("part"), "part")
     held = held.groupBy("odd").agg(F.max(F.struct(F.length("part").alias("size"), "part")).alias("top")).select("odd", F.col("top.part").alias("held"))
     # what the form's blocks, or the places that name it beside a city, have in common
-    blocks = near.groupBy("odd").agg(F.count_distinct("block").alias("all"))
-    shared = near.groupBy("odd", "city").agg(F.count_distinct("block").alias("n"))
+    by_block = near.groupBy("odd", "block").agg(F.collect_set("city").alias("cities"))
+    shared = by_block.select("odd", F.explode(F.concat("cities", F.array(F.lit("")))).alias("city")).groupBy("odd", "city").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut(shared)  # the row of the empty city counts the blocks
     beside = read.where("city is not null and beside is not null").join(places, "parts").groupBy(F.col("beside").alias("odd"), "city").agg(F.sum("rows").alias("n"))
-    both = shared.join(blocks, "odd").unionByName(beside.join(beside.groupBy("odd").agg(F.sum("n").alias("all")), "odd"))
+    both = shared.where("city != ''").join(shared.where("city = ''").select("odd", F.col("n").alias("all")), "odd").unionByName(beside.join(beside.groupBy("odd").agg(F.sum("n").alias("all")), "odd"))
     meant = both.where((F.col("n") >= EVIDENCE) & (F.col("n") >= SHARE * F.col("all"))).groupBy("odd").agg(F.max(F.struct("n", "city")).alias("top")).select("odd", F.col("top.city").alias("meant"))
-    meant = cut(meant)
     first = cut(forms.join(held, "odd", "left").join(meant, "odd", "left").select("odd", F.coalesce("held", "meant").alias("found")))
     # what the form looks like: the name nearest to it, of those that boards use or that the evidence has settled
     listed = names.where("kind = 'city'").select(F.col("part").alias("name"), F.col("part").alias("city")).unionByName(meant.join(names.where("kind = 'city'"), F.col("part") == F.col("odd"), "left_anti").select(F.col("odd").alias("name"), F.col("meant").alias("city")))
-    pairs = similar_names(first.where("found is null").select(F.col("odd").alias("name")), listed.select("name")).withColumn("slips", _slips("left_name", "right_name")).where("slips < 99")
+    left = spread(first.where("found is null").select(F.col("odd").alias("left_name")), "left_name").select("left_name", F.explode(_variants("left_name")).alias("v"))
+    right = spread(listed.select(F.col("name").alias("right_name")), "right_name").select("right_name", F.explode(_variants("right_name")).alias("v"))
+    pairs = left.join(right, "v").select("left_name", "right_name").distinct().withColumn("slips", _slips("left_name", "right_name")).where("slips < 99")
     nearest = pairs.join(listed, F.col("right_name") == F.col("name")).groupBy(F.col("left_name").alias("odd")).agg(F.min(F.struct("slips", "city")).alias("top"), F.min("slips").alias("least"), F.collect_set(F.struct("slips", "city")).alias("all"))
     nearest = nearest.where(F.size(F.array_distinct(F.transform(F.filter("all", lambda x: x["slips"] == F.col("least")), lambda x: x["city"]))) == 1).select("odd", F.col("top.city").alias("looks"))
-    second = cut(first.join(nearest, "odd", "left").select("odd", F.coalesce("found", "looks").alias("found")))
+    second = (first.join(nearest, "odd", "left").select("odd", F.coalesce("found", "looks").alias("found")))
     # or else the nearest city of its block, which may be short
-    placed = odd.join(second, "odd")
+    placed = cut(odd.join(second, "odd"))
     there = cities.unionByName(placed.where("found is not null").select("block", F.col("found").alias("city"), F.col("country").alias("city_country")))
     rest = placed.where("found is null").join(there, "block").where(fits).select("block", "odd", "city").distinct()
     alike = rest.select("odd", "city").distinct().where(F.levenshtein("odd", "city", 4) >= 0).withColumn("slips", _slips("odd", "city")).where("slips < 99")

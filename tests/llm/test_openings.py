@@ -119,8 +119,8 @@ def test_the_model_learns_from_labels_and_holds_to_the_prior_without():
 
 
 def test_link_forms_prefers_what_is_listed(spark):
-    typed = spark.createDataFrame([("", f, 1, [f], []) for f in ("brahixjorsab", "brahnxjorsab", "irkzorharqui", "irkzorhavqui", "nothingnear", "")], "scope string, form string, n long, heads array<string>, parts array<string>")
-    listed = spark.createDataFrame([("brahixjorsab", "brahixjorsabtravel", 3)], "form string, name string, weight long")
+    typed = spark.createDataFrame([("k", "", f, 1, [f], []) for f in ("brahixjorsab", "brahnxjorsab", "irkzorharqui", "irkzorhavqui", "nothingnear", "")], "kind string, scope string, form string, n long, heads array<string>, parts array<string>")
+    listed = spark.createDataFrame([("k", "brahixjorsab", "brahixjorsabtravel", 3)], "kind string, form string, name string, weight long")
     got = {r.form: (r.name, r.slips) for r in e.link_forms(typed, listed).collect()}
     assert got["brahixjorsab"] == ("brahixjorsabtravel", 0) and got["brahnxjorsab"] == ("brahixjorsabtravel", 1)
     assert got["irkzorharqui"][0] == got["irkzorhavqui"][0] and got["nothingnear"] == ("nothingnear", 0)
@@ -146,3 +146,29 @@ def test_logistic():
     y = (rng.random(2000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 0] - x[:, 1])))).astype(float)
     w = e.fit_logistic(x, y)
     assert np.allclose(w, [0.5, 2, -1], atol=0.25)
+
+
+def test_variants_meet_where_names_are_two_slips_apart():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        name = "".join(rnd.choice("abcdef") for _ in range(rnd.randint(5, 12)))
+        typed = list(name)
+        for _ in range(2 if len(name) > 6 else 1):
+            i, kind = rnd.randrange(len(typed)), rnd.randrange(4)
+            if kind == 0:
+                typed[i] = rnd.choice("xyz")
+            elif kind == 1:
+                typed.insert(i, rnd.choice("xyz"))
+            elif kind == 2:
+                del typed[i]
+            elif i:
+                typed[i - 1], typed[i] = typed[i], typed[i - 1]
+        assert set(places.variants("".join(typed))) & set(places.variants(name)) or edits_of("".join(typed), name) > 2
+
+
+def edits_of(a, b):
+    from jobmill.llm.canonical import edits
+
+    return edits(a, b, 5)
