@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobmill.functions.html import html_text
 from jobmill.functions.text import posting_id, squeeze
 from jobmill.session import ensure_checkpoint_dir, table
+from jobmill.sources.files import file_ranges
 from jobmill.streaming.ledger import daily_counts, run_ledger
 
 QUERIES: dict = {}
@@ -89,4 +90,12 @@ with p as (select distinct poll_no, board_id, epoch_us(polled_at) as t_us, compl
 l as (select distinct p.board_id, p.t_us, cast(g.id as varchar) as posting_id from p join greenhouse_list g using (poll_no)), s as (select board_id, posting_id, count(distinct t_us) as times_seen, min(t_us) as first_us, max(t_us) as last_us from l group by 1, 2)
 select s.*, (select min(t_us) from p where p.complete and p.board_id = s.board_id and p.t_us > s.last_us) as closed_us from s"""
 
-QUERIES |= {f.__name__: f for f in (postings_unified, html_to_text, json_props, stream_daily_counts, stream_ledger)}
+def footer_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The range of a key and the number of rows as the files' footers say."""
+    r = file_ranges(spark, f"{sf}/lineitem.parquet", "l_orderkey")
+    return r.agg(F.min(F.col("low").cast("bigint")).alias("low"), F.max(F.col("high").cast("bigint")).alias("high"), F.sum("rows").alias("rows"))
+
+
+ORACLE["footer_ranges"] = "select min(l_orderkey) as low, max(l_orderkey) as high, count(*) as rows from lineitem"
+
+QUERIES |= {f.__name__: f for f in (postings_unified, html_to_text, json_props, stream_daily_counts, stream_ledger, footer_ranges)}

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +63,34 @@ def report(counts: DataFrame, title: str) -> str:
     """A short Markdown report of a one-row DataFrame."""
     row = counts.first()
     return "\n".join([f"# {title}", "", *[f"- {k}: {v}" for k, v in (row.asDict() if row else {}).items()], ""])
+
+
+def file_ranges(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(file, low, high, rows) of a numeric or text column in every Parquet file under `path`, from the footers alone.
+
+    No data page is read: file names come from listing, footers are read in parallel by the workers. low and high are texts, null
+    where a row group has no statistics. A range scan then reads only the files that may hold it (`files_between`).
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = list(spark.read.parquet(path).inputFiles()) if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop) else []
+
+    def footers(frames):
+        for frame in frames:
+            rows = []
+            for name in frame["file"]:
+                system, where = pa_fs.FileSystem.from_uri(name)
+                meta = pq.read_metadata(where, filesystem=system)
+                at = meta.schema.to_arrow_schema().get_field_index(column)
+                stats = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+                known = stats and all(x is not None and x.has_min_max for x in stats)
+                rows.append((name, str(min(x.min for x in stats)) if known else None, str(max(x.max for x in stats)) if known else None, meta.num_rows))
+            yield pd.DataFrame(rows, columns=["file", "low", "high", "rows"])
+
+    listed = spark.createDataFrame([(n,) for n in names], "file string").repartition(max(1, min(len(names), 1000)))
+    return listed.mapInPandas(footers, "file string, low string, high string, rows bigint")
+
+
+def files_between(ranges: DataFrame, low: float, high: float) -> list[str]:
+    """The files of `file_ranges` (of a numeric column) that may hold a value from low to high; files without statistics always may."""
+    a, b = F.col("low").cast("double"), F.col("high").cast("double")
+    return sorted(r["file"] for r in ranges.where(F.coalesce((a <= high) & (b >= low), F.lit(True))).collect())

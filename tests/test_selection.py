@@ -94,3 +94,15 @@ def test_details(spark):
     rows = [("1", page({"title": "Cook", "hiringOrganization": "Acme", "jobLocation": [{"address": {"addressLocality": "Pune"}}], "description": "<p>a</p>"})), ("2", page([{"title": "Chef", "hiringOrganization": {"name": "B"}}])), ("3", "<html>"), ("4", None)]
     got = {r.posting_id: (r.title, r.company, r.location, r.description) for r in read_details(spark.createDataFrame(rows, "posting_id string, body string")).collect()}
     assert got == {"1": ("Cook", "Acme", "Pune", "a"), "2": ("Chef", "B", None, None), "3": (None,) * 4, "4": (None,) * 4}
+
+
+def test_file_ranges(spark, tmp_path):
+    from jobmill.sources.files import file_ranges, files_between
+
+    path = str(tmp_path / "t")
+    spark.range(100).selectExpr("id", "id * 2 as twice").repartitionByRange(4, "id").write.parquet(path)
+    got = sorted((int(r.low), int(r.high), r.rows) for r in file_ranges(spark, path, "twice").collect())
+    assert len(got) == 4 and got[0][0] == 0 and got[-1][1] == 198 and sum(r[2] for r in got) == 100 and all(a[1] < b[0] for a, b in zip(got, got[1:]))
+    few = files_between(file_ranges(spark, path, "twice"), 190, 500)
+    assert len(few) == 1 and spark.read.parquet(*few).where("twice >= 190").count() == 5
+    assert file_ranges(spark, str(tmp_path / "none"), "twice").count() == 0
