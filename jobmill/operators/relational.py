@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobmill.session import cut, spread
 
+CELL = 8_000  #: about the most titles of a key, on each side, that one step of similar_titles compares
+
 
 def upsert(target: DataFrame, source: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Target with the source's rows: new keys inserted, the listed columns of known keys refreshed where the source's
@@ -141,22 +146,52 @@ def jaccard_pairs(df: DataFrame, group: list[str], key: str, tokens: str, simila
     return found.select(*group, f"{key}_a", f"{key}_b", "jaccard", *[f"{c}_{s}" for c in rest for s in "ab"])
 
 
-def _with_bigrams(df: DataFrame, c: str, name: str) -> DataFrame:
-    """Adds `name`: the pairs of neighbouring characters of a text, the n-th of a kind told apart by its number."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2))))
-    # in sorted order a pair's number is its distance from the first of its kind
-    nth = F.transform("__pairs", lambda p, i: F.concat(p, (i - F.array_position("__pairs", p)).cast("string")))
-    return df.withColumn("__pairs", pairs).withColumn(name, nth).drop("__pairs")
+def _signatures(titles: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each title its length; its characters' counts in 32 classes, up to 4 in unary, as 128 bits; the parities of its pairs of
+    neighbouring characters in 192 classes. Two titles differ in no more of these bits than in characters or pairs."""
+    sizes = np.fromiter(map(len, titles), np.int64, len(titles))
+    codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(titles)), sizes)
+    counts = np.bincount(row * 32 + (codes % np.uint64(32)).astype(np.int64), minlength=len(titles) * 32).reshape(-1, 32)
+    letters = np.packbits((np.arange(4) < counts[:, :, None]).reshape(-1, 128), axis=1).view(np.uint64)
+    kind = ((codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)) % np.uint64(192)
+    inside = row[1:] == row[:-1]
+    parity = np.bincount(row[:-1][inside] * 192 + kind[inside].astype(np.int64), minlength=len(titles) * 192).reshape(-1, 192) & 1
+    return sizes, letters, np.packbits(parity.astype(bool), axis=1).view(np.uint64)
+
 
+def _near(left: list[str], right: list[str], ratio: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in left, places in right) of every pair that may reach the ratio, a few hundred thousand looked at in one go.
 
-def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, ratio: float = 0.9) -> DataFrame:
+    With u = (1 - ratio) * total characters unmatched the titles' characters differ by at most u; there are at most u + 1 matching blocks,
+    so that their pairs of neighbours differ by at most 3 * u.
+    """
+    (n1, c1, p1), (n2, c2, p2) = _signatures(left), _signatures(right)
+    o1, o2 = np.argsort(n1, kind="stable"), np.argsort(n2, kind="stable")
+    n1, c1, p1, n2, c2, p2 = n1[o1], c1[o1], p1[o1], n2[o2], c2[o2], p2[o2]
+    step = max(1, 200_000 // max(1, len(right)))
+    for i in range(0, len(left), step):
+        x = n1[i : i + step]
+        lo = np.searchsorted(n2, x[0] * ratio / (2 - ratio) - 1e-6)
+        hi = np.searchsorted(n2, x[-1] * (2 - ratio) / ratio + 1e-6, "right") if ratio > 0 else len(n2)
+        if lo >= hi:
+            continue
+        most = np.minimum((x + n2[hi - 1]) * (1 - ratio) + 1e-6, 255).astype(np.uint8)
+        differ = np.bitwise_count(c1[i : i + step, None, 0] ^ c2[None, lo:hi, 0]) + np.bitwise_count(c1[i : i + step, None, 1] ^ c2[None, lo:hi, 1])
+        a, b = np.nonzero(differ <= most[:, None])
+        a, b = a + i, b + lo
+        kept = np.bitwise_count(p1[a] ^ p2[b]).sum(axis=1) <= 3 * np.floor((n1[a] + n2[b]) * (1 - ratio) + 1e-6)
+        yield o1[a[kept]], o2[b[kept]]
+
+
+def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, ratio: float = 0.9, cell: int = CELL) -> DataFrame:
     """`left` rows with the most similar `right` title (`match`, its `ratio`) of equal key, where it is similar enough.
 
     The measure is the share of matching blocks (2 * matched / total length; ties: the greater title in binary
-    order). Distinct titles only. A title that the right side has too is its own match; the others are compared. With at most
-    1 - ratio of the characters unmatched there are at most so many blocks plus one, so two titles share at least
-    (1.5 * ratio - 1) * total - 1 pairs of neighbouring characters; only titles that share one of their rarest pairs, early
-    enough to reach that (prefix and positional filter, exact), and whose lengths allow the ratio are measured.
+    order). Distinct titles only. A title that the right side has too is its own match; the others are compared with all of
+    the key's right titles, by signatures first (exact bounds), then by edit distance, then measured. Pairs are only ever streamed: what
+    is written and shuffled are the titles, those of a key with more than `cell` on a side once for each cell of about
+    `cell` left and `cell` right ones.
     """
 
     @F.pandas_udf("double")
@@ -170,25 +205,37 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, title: str, rati
             out.append(matcher.ratio() if matcher.real_quick_ratio() >= ratio and matcher.quick_ratio() >= ratio else 0.0)
         return pd.Series(out, dtype="float64")
 
-    measure = measure.asNondeterministic()  # else its filter is pushed below the distinct step
-    sides = [df.select(key, F.col(title).alias("__t")).dropna().distinct().withColumn("__side", F.lit(n)) for n, df in enumerate((left, right))]
-    same = sides[0].join(sides[1].select(key, "__t"), [key, "__t"], "left_semi").select(key, F.col("__t").alias(title), F.col("__t").alias("match"), F.lit(1.0).alias("ratio"))
-    odd = sides[0].join(sides[1].select(key, "__t"), [key, "__t"], "left_anti").select(key, "__t", "__side")
-    grams = cut(_with_bigrams(spread(odd.unionByName(sides[1]), key, "__t"), "__t", "__gs").select(key, "__t", "__side", F.explode("__gs").alias("__g")))
-    rarity = grams.groupBy("__g").agg(F.count(F.lit(1)).alias("__df"))
-    ordered = grams.join(rarity, "__g").groupBy(key, "__t", "__side").agg(F.sort_array(F.collect_list(F.struct("__df", "__g"))).alias("__gs"))
-    share = 1.5 * ratio - 1
-    shortest = F.length("__t") * (1 + ratio / (2 - ratio))  # with the shortest partner that allows the ratio
-    needed = F.greatest(F.floor(shortest * share) - 1, F.lit(0))
-    prefix = F.greatest(F.size("__gs") - needed + 1, F.lit(1)).cast("int")
-    first = ordered.select(key, "__t", "__side", F.size("__gs").alias("__m"), F.posexplode(F.slice("__gs", F.lit(1), prefix)["__g"]).alias("__at", "__g"))
-    l = first.where("__side = 0").select(key, "__g", F.col("__t").alias("__l"), F.col("__m").alias("__lm"), F.col("__at").alias("__la"))  # noqa: E741
-    r = first.where("__side = 1").select(key, "__g", F.col("__t").alias("__r"), F.col("__m").alias("__rm"), F.col("__at").alias("__ra"))
-    x, y = F.length("__l"), F.length("__r")
-    possible = (2 * F.least(x, y) >= ratio * (x + y)) & (F.least(F.col("__lm") - F.col("__la"), F.col("__rm") - F.col("__ra")) >= F.floor((x + y) * share) - 1)
-    near = cut(spread(l.join(r, [key, "__g"]).where(possible).select(key, "__l", "__r"), key, "__r").distinct())
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = [], 0
+            for g in range(batch.num_rows):
+                ls, rs = batch.column(1)[g].values, batch.column(2)[g].values
+                for a, b in _near(ls.to_pylist(), rs.to_pylist(), ratio):
+                    if len(a):
+                        held.append((batch.column(0).take(pa.array(np.full(len(a), g))), ls.take(pa.array(a)), rs.take(pa.array(b))))
+                        n += len(a)
+                    if n >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], [key, "__l", "__r"])
+                        held, n = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], [key, "__l", "__r"])
+
+    measure = measure.asNondeterministic()  # else it is evaluated by the filter and again for the result
+    sides = [df.select(key, F.col(title).alias("__t"), F.lit(n == 0).alias("__in_l"), F.lit(n == 1).alias("__in_r")).dropna() for n, df in enumerate((left, right))]
+    titles = cut(sides[0].unionByName(sides[1]).groupBy(key, "__t").agg(F.max("__in_l").alias("__in_l"), F.max("__in_r").alias("__in_r")))
+    same = titles.where("__in_l and __in_r").select(key, F.col("__t").alias(title), F.col("__t").alias("match"), F.lit(1.0).alias("ratio"))
+    sizes = titles.groupBy(key).agg(F.count_if(~F.col("__in_r")).alias("__nl"), F.count_if("__in_r").alias("__nr"))
+    large = sizes.where((F.greatest("__nl", "__nr") > cell) & (F.least("__nl", "__nr") > 0)).select(key, *[F.ceil(F.col(f"__n{s}") / cell).cast("int").alias(f"__k{s}") for s in "lr"])
+    cells = titles.join(F.broadcast(large), key, "left").withColumns({f"__k{s}": F.coalesce(f"__k{s}", F.lit(1)) for s in "lr"})
+    own = lambda s: F.array(F.pmod(F.xxhash64("__t"), F.col(f"__k{s}")).cast("int"))
+    every = lambda s: F.sequence(F.lit(0), F.col(f"__k{s}") - 1)
+    cells = cells.withColumn("__a", F.explode(F.when(F.col("__in_r"), every("l")).otherwise(own("l")))).withColumn("__b", F.explode(F.when(F.col("__in_r"), own("r")).otherwise(every("r"))))
+    lists = spread(cells.select(key, "__a", "__b", "__in_r", "__t"), key, "__a", "__b").groupBy(key, "__a", "__b").agg(F.collect_list(F.when(~F.col("__in_r"), F.col("__t"))).alias("__ls"), F.collect_list(F.when(F.col("__in_r"), F.col("__t"))).alias("__rs"))
+    kind = left.schema[key].dataType.simpleString()
+    near = lists.where("size(__ls) > 0 and size(__rs) > 0").select(key, "__ls", "__rs").mapInArrow(pairs, f"`{key}` {kind}, __l string, __r string")
     # what doesn't match must be deleted or inserted, so that the edit distance is no more than its length
-    near = near.where(F.levenshtein("__l", "__r") <= F.floor((x + y) * (1 - ratio) + 1e-9))
+    room = F.floor((F.length("__l") + F.length("__r")) * (1 - ratio) + 1e-9).cast("int")
+    near = near.where(F.call_function("levenshtein", F.col("__l"), F.col("__r"), room) >= 0)
     scored = near.withColumn("ratio", measure("__l", "__r")).where(F.col("ratio") >= ratio)
     best = scored.groupBy(key, "__l").agg(F.max(F.struct("ratio", F.col("__r").alias("match"))).alias("b"))
     return same.unionByName(best.select(key, F.col("__l").alias(title), F.col("b.match").alias("match"), F.col("b.ratio").alias("ratio")))

@@ -607,7 +607,7 @@ def snapshot_diff_apply(spark, sf):
 @query()
 def fuzzy_title_join(spark, sf):
     """Portal titles with the most similar title of the same company's own board (ratio of matching blocks)."""
-    j = table(spark, sf, "all_jobs").select(R.company_key(F.col("company")).alias("company_key"), F.lower(F.trim("role")).alias("title"), "site").distinct()
+    j = table(spark, sf, "all_jobs").select(R.company_key(F.col("company")).alias("company_key"), F.lower(F.trim("role")).alias("title"), "site")
     return O.similar_titles(j.where("site not like 'ats:%'"), j.where("site like 'ats:%'"), "company_key", "title")
 
 

@@ -72,6 +72,39 @@ def test_similar_titles_against_all_pairs(spark):
     assert O.similar_titles(frames[0].limit(0), frames[1], "c", "t").count() == 0
 
 
+def test_similar_titles_in_cells_against_all_pairs(spark):
+    import difflib
+    import random
+
+    rnd = random.Random(11)
+    base = ["senior data engineer", "データエンジニア、東京本社", "a" * 90 + " b" * 70, "ab", "", "x", "naïve 🙂 analyst 🙂🙂"]
+    typo = lambda t: "".join(ch if rnd.random() > 0.06 else rnd.choice("xyzé🙂 ") for ch in t)
+    left, right = ({(rnd.choice("kkko"), typo(rnd.choice(base))) for _ in range(200)} for _ in range(2))
+    frames = [spark.createDataFrame(sorted(x), "c string, t string") for x in (left, right)]
+    for ratio in (0.5, 0.9, 1.0):
+        want = {}
+        for k, a in left:
+            best = max(((1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio(), b) for j, b in right if j == k), default=(0, ""))
+            # a title that the other side has is its own match
+            best = (1.0, a) if (k, a) in right else best
+            if best[0] >= ratio:
+                want[k, a] = (best[1], best[0])
+        for cell in (9, 8000):
+            assert {(r.c, r.t): (r.match, r.ratio) for r in O.similar_titles(*frames, "c", "t", ratio, cell).collect()} == want
+
+
+def test_similar_titles_write_no_pairs(spark):
+    from pathlib import Path
+
+    # one key, all titles alike: the pairs, and the titles' pairs of characters, would be many times the titles
+    frames = [spark.createDataFrame([("k", f"senior platform engineer, group {n:04d} {side}") for n in range(300)], "c string, t string") for side in ("p", "b")]
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = written()
+    found = O.similar_titles(*frames, "c", "t")
+    assert found.count() == 300 and written() - before < 300_000
+
+
 def test_set_cover_against_all_subsets(spark):
     from itertools import combinations
 
