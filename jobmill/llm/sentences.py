@@ -5,7 +5,7 @@ document is wrapped is weighed from its own lines (do they break where the next
 lower case) and from the widths at which the corpus is wrapped. Inside a paragraph every character is tagged as boundary or
 inside by a linear-chain model and Viterbi decoding; characters that no script ends a sentence at (neither sentence
 terminals by Unicode's property, nor blanks beside a script written without them) are inside for certain, so that the chain
-runs over the others. The model is trained on the corpus' own list items: set one after another they are a paragraph whose
+runs over the others. The model is trained on all of the corpus' own list items: set one after another they are a paragraph whose
 boundaries are known. For scripts without end marks the items' punctuation is stripped first, so that blanks alone must tell.
 """
 
@@ -19,17 +19,19 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmill.session import cut
+from jobmill.session import cut, spread
 
-TRAIN_BYTES = 256 << 20  #: about as much input is searched for lists and line widths, documents chosen by a hash
-TRAIN_BLOCKS = 5_000  #: the most lists that the model is trained on, for each group of scripts
-TRAIN_LIST = 20_000  #: characters of a list that the model is trained on, in whole items
-ROUNDS = 25  #: passes of the training
+TRAIN_BLOCKS = 5_000  #: the most lists, for each group of scripts, that the training begins with on the driver; then it goes on with all
+TRAIN_LIST = 20_000  #: characters from which a list is trained on in runs of whole items
+SHARD_LISTS, SHARD_CHARS = 5_000, 5_000_000  #: about the most lists, and characters of lists, in a shard of the training
+ROUNDS = 25  #: passes of the training's beginning
+SHARD_ROUNDS = 5  #: passes over a shard
 SURE = 3.0  #: log odds from which a document's own lines decide whether it is wrapped, and teach the widths
 WIDTH_STEP = 5  #: characters to a class of line widths
 MEMO = 200_000  #: scored contexts that a worker remembers
@@ -382,7 +384,10 @@ def lists_of(text: str) -> Iterator[list[str]]:
 
 def group_of(items: list[str]) -> str:
     """The group of scripts that a list is trained in."""
-    kinds = [_script(c) for c in "".join(items)]
+    joined = "".join(items)
+    if joined.isascii():
+        return "l"
+    kinds = [_script(c) for c in joined]
     for name in "tch":
         if kinds.count(name) * 4 > len(kinds):
             return name
@@ -408,62 +413,100 @@ def example(items: list[str], seed: int) -> tuple[str, set[int]]:
     return text, ends
 
 
-def train(lists: list[list[str]], widths: dict[int, float] | None = None) -> Tagger:
-    """A tagger trained on lists by the averaged structured perceptron, from START.
+def _learn(lists: list[list[str]], tagger: Tagger, rounds: int) -> tuple[dict[str, float], list[list[float]]]:
+    """What the averaged structured perceptron adds to a tagger's weights (0.0 for features that are seen and kept) and chain.
 
     Lists that were right in the pass before are looked at again in every fourth pass only.
     """
-    weights, chain = dict(START), [[0.0, 0.0], [0.0, 0.0]]
-    total: dict[str, float] = {}
+    ids: dict[str, int] = {}
+    memo: dict[tuple, tuple[int, ...]] = {}
     examples = []
     for n, items in enumerate(lists):
         text, ends = example(items, n)
         places = candidates(text, 0, len(text))
-        gold = [int(p[0] in ends) for p in places]
-        examples.append(([features(context(text, 0, len(text), p)) for p in places], gold))
-    step, size = 1, max(1, len(examples) * ROUNDS)
-    chain_total = [[0.0, 0.0], [0.0, 0.0]]
-    tagger = Tagger(weights, chain)
+        names = []
+        for p in places:
+            ctx = context(text, 0, len(text), p)
+            if ctx not in memo:
+                memo[ctx] = tuple(ids.setdefault(f, len(ids)) for f in features(ctx))
+            names.append(memo[ctx])
+        examples.append((names, [int(p[0] in ends) for p in places]))
+    step, size = 1, max(1, len(examples) * rounds)
+    weights, total = [tagger.weights.get(f, 0.0) for f in ids], [0.0] * len(ids)
+    chain, chain_total = [list(row) for row in tagger.chain], [[0.0, 0.0], [0.0, 0.0]]
+    own = Tagger({}, chain)
     wrong = [True] * len(examples)
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         for k, (names, gold) in enumerate(examples):
             step += 1
             if not wrong[k] and turn % 4:
                 continue
-            guess = tagger.decode([sum(weights.get(f, 0.0) for f in fs) for fs in names])
+            guess = own.decode([sum([weights[f] for f in fs]) for fs in names])
             wrong[k] = guess != gold
             if wrong[k]:
                 share, rest = 0.2, (size - step) / size
                 for fs, g, y in zip(names, guess, gold):
                     if g != y:
                         for f in fs:
-                            weights[f] = weights.get(f, 0.0) + share * (y - g)
-                            total[f] = total.get(f, 0.0) + share * (y - g) * rest
+                            weights[f] += share * (y - g)
+                            total[f] += share * (y - g) * rest
                 for path, sign in ((gold, share), (guess, -share)):
                     for a, b in zip([1, *path], path):
                         chain[a][b] += sign * 0.1
                         chain_total[a][b] += sign * 0.1 * rest
-    mean = {f: START.get(f, 0.0) + v for f, v in total.items()}
-    return Tagger({**START, **{f: v for f, v in mean.items() if v}}, chain_total, widths)
+    return {f: total[k] for f, k in ids.items()}, chain_total
+
+
+def train(lists: list[list[str]], widths: dict[int, float] | None = None) -> Tagger:
+    """A tagger trained on lists from START."""
+    added, chain = _learn(lists, Tagger(START, [[0.0, 0.0], [0.0, 0.0]]), ROUNDS)
+    return Tagger({**START, **{f: START.get(f, 0.0) + v for f, v in added.items() if v}}, chain, widths)
+
+
+def train_on(lists: DataFrame, tagger: Tagger, shards: int) -> Tagger:
+    """A tagger trained further on all lists (ord, items), each in one of the shards by its hash.
+
+    Every shard starts from the given tagger; a weight changes by the mean over the shards that have its feature, the chain by the mean
+    over all. The sums are of whole numbers, so that they don't depend on the order.
+    """
+    weights, chain, unit = tagger.weights, tagger.chain, float(1 << 30)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["ord", "items"])["items"]
+        added, links = _learn([x.split("\n") for x in rows], Tagger(weights, chain), SHARD_ROUNDS)
+        flat = [("w", f, round(v * unit)) for f, v in added.items()] + [("c", f"{a}{b}", round(links[a][b] * unit)) for a in (0, 1) for b in (0, 1)]
+        return pd.DataFrame(flat, columns=["kind", "name", "added"])
+
+    placed = spread(lists.select(F.pmod("ord", F.lit(shards)).alias("shard"), "ord", "items"), "shard")
+    mean = placed.groupBy("shard").applyInPandas(learn, "kind string, name string, added bigint").groupBy("kind", "name").agg(F.sum("added").alias("added"), F.count(F.lit(1)).alias("n"))
+    of: dict[str, dict[str, float]] = {"w": {}, "c": {}}
+    for r in mean.where("added != 0").collect():
+        of[r["kind"]][r["name"]] = r["added"] / unit / r["n"]
+    return Tagger({**weights, **{f: weights.get(f, 0.0) + of["w"][f] for f in sorted(of["w"])}}, [[chain[a][b] + of["c"].get(f"{a}{b}", 0.0) for b in (0, 1)] for a in (0, 1)], tagger.widths)
 
 
 def whole_items(items: list[str], most: int = TRAIN_LIST) -> list[str]:
     """The first items of a list that have at most `most` characters together."""
     sizes = itertools.accumulate(len(x) + 1 for x in items)
-    return [x for x, n in zip(items, sizes) if n <= most]
+    return items[: sum(1 for _ in itertools.takewhile(lambda n: n <= most, sizes))]
+
+
+def runs_of(items: list[str], most: int = TRAIN_LIST) -> Iterator[list[str]]:
+    """A list in runs of whole items that have at most `most` characters together; a longer item is a run of its own."""
+    at = 0
+    while at < len(items):
+        run = whole_items(items[at:], most) or items[at : at + 1]
+        yield run
+        at += len(run)
 
 
-def training_data(df: DataFrame, text: str, most: int = TRAIN_BLOCKS) -> tuple[list[list[str]], dict[int, float]]:
-    """(lists, widths) that a tagger is trained on.
+def training_data(df: DataFrame, text: str) -> tuple[DataFrame, dict[int, float]]:
+    """(lists, widths) that a tagger is trained on, from all texts in one pass.
 
-    lists: at most `most` of each group of scripts, the first by a hash of their text, of each its first whole items; repeated
-    lists count once. widths: for each class of widths the log odds of wrapped to unwrapped texts among those
-    whose own lines leave no doubt. Both come from about TRAIN_BYTES of the table, texts with the least hashes (from all where
-    it is smaller, by the size that its plan states), in one pass.
+    lists: (grp, ord, items) of every run of list items, its group of scripts, a hash and its items joined by line ends; repeated
+    ones count once. widths: for each class of widths the log odds of wrapped to unwrapped texts among those whose own
+    lines leave no doubt.
     """
-    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if stated > TRAIN_BYTES:
-        df = df.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < TRAIN_BYTES / stated * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[int]] = {}
@@ -476,31 +519,33 @@ def training_data(df: DataFrame, text: str, most: int = TRAIN_BLOCKS) -> tuple[l
                 if abs(odds) >= SURE:
                     seen.setdefault(width // WIDTH_STEP, [0, 0])[odds > 0] += 1
                 for items in lists_of(body):
-                    if len(kept := whole_items(items)) > 1:
-                        joined = "\n".join(kept)
-                        rows[joined] = (group_of(kept), int.from_bytes(blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
-            # no more of a batch than could be chosen at all
-            best: dict[str, list] = {}
-            for joined, (group, order) in sorted(rows.items(), key=lambda r: r[1][1]):
-                if len(best.setdefault(group, [])) < most:
-                    best[group].append((group, order, joined, None, None, None))
-            flat = [r for rs in best.values() for r in rs]
+                    for part in runs_of(items):
+                        joined = "\n".join(part)
+                        if joined not in rows:
+                            rows[joined] = (group_of(part), int.from_bytes(blake2b(joined.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True))
+            flat = [(group, order, joined, None, None, None) for joined, (group, order) in rows.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate(types)], names)
         flat = [(None, None, None, w, no, yes) for w, (no, yes) in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in flat], t) for k, t in enumerate(types)], names)
 
     types, names = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()), ["grp", "ord", "items", "width", "plain", "wrapped"]
-    found = cut(df.select(text).mapInArrow(run, "grp string, ord bigint, items string, width int, plain bigint, wrapped bigint"))
-    out = []
-    for group in ("l", "c", "h", "t"):
-        out += [r["items"].split("\n") for r in found.where(F.col("grp") == group).select("ord", "items").distinct().orderBy("ord", "items").limit(most).collect()]
-    counts = found.where("width is not null").groupBy("width").agg(F.sum("plain").alias("plain"), F.sum("wrapped").alias("wrapped")).collect()
-    return out, {r["width"]: float(np.log((r["wrapped"] + 0.5) / (r["plain"] + 0.5))) for r in counts}
+    raw = df.select(text).mapInArrow(run, "grp string, ord bigint, items string, width int, plain bigint, wrapped bigint")
+    found = cut(raw.groupBy("grp", "ord", "items", "width").agg(F.sum("plain").alias("plain"), F.sum("wrapped").alias("wrapped")))
+    widths = {r["width"]: float(np.log((r["wrapped"] + 0.5) / (r["plain"] + 0.5))) for r in found.where("width is not null").collect()}
+    return found.where("items is not null").select("grp", "ord", "items"), widths
+
 
+def fit_tagger(df: DataFrame, text: str, first: int = TRAIN_BLOCKS, shard: int = SHARD_LISTS) -> Tagger:
+    """A tagger trained on all lists and line widths of a table; keep it with `save_tagger` and pass it on.
 
-def fit_tagger(df: DataFrame, text: str) -> Tagger:
-    """A tagger trained on a table's own lists and line widths; keep it with `save_tagger` and pass it on."""
-    return train(*training_data(df, text))
+    The training begins with at most `first` lists of each group of scripts, the first by hash, and goes on with all of them, in shards
+    of about `shard` lists, where there are more.
+    """
+    lists, widths = training_data(df, text)
+    begin = [r["items"].split("\n") for group in "lcht" for r in lists.where(F.col("grp") == group).select("ord", "items").orderBy("ord", "items").limit(first).collect()]
+    tagger = train(begin, widths)
+    n, chars = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("items")), F.lit(0))).first()
+    return train_on(lists, tagger, max(-(-n // shard), -(-chars // SHARD_CHARS))) if n > len(begin) else tagger
 
 
 def save_tagger(spark: SparkSession, tagger: Tagger, path: str) -> None:
@@ -521,8 +566,8 @@ def sentence_units(df: DataFrame, key: str, text: str, tagger: Tagger | None = N
     """(key, sent_from, sent_to) of every sentence unit, as code point offsets, end excluded.
 
     The tagger is trained on the table itself unless one is given. Null, empty and blank texts and texts without a
-    letter or digit have no units; repeated rows give their units again. No text is shuffled; the model (some ten
-    thousand weights, bounded by TRAIN_BLOCKS) goes to the workers with the function.
+    letter or digit have no units; repeated rows give their units again. Of the texts only list items are shuffled, for the training;
+    the model (some ten thousand weights, more as the words before end marks grow) goes to the workers with the function.
     """
     tagger = tagger or fit_tagger(df, text)
     weights, chain, widths = tagger.weights, tagger.chain, tagger.widths

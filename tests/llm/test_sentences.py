@@ -120,6 +120,36 @@ def test_lists_are_cut_between_items():
     assert s.whole_items(items, 110) == items[:2] and s.whole_items(items, 10) == [] and s.whole_items(items) == items
 
 
+def _sentence(words):
+    return " ".join(words).capitalize() + "."
+
+
+def test_all_items_of_a_long_list_are_learned_from(spark):
+    plain = [_sentence(["we", "meet", "the", "group", f"{n % 7}", "in", "hall", "b"]) for n in range(1500)]
+    items = plain + [f"The plant sends qux. Parts to hall {n} every week." for n in range(30)]
+    assert len("".join(plain)) > s.TRAIN_LIST and [x for r in s.runs_of(items) for x in r] == items
+    assert [len(r) for r in s.runs_of(["x" * 9, "y" * 50, "z", "z"], 20)] == [1, 1, 2]
+    df = spark.createDataFrame([(1, "\n".join(f"- {x}" for x in items))], "k int, text string")
+    assert len(s.fit_tagger(df, "text").units("We send qux. Parts to Rome. It is fun.")) == 2
+
+
+def test_all_lists_and_widths_are_learned_from(spark, monkeypatch):
+    import math
+    import textwrap
+
+    monkeypatch.setattr(s, "TRAIN_BYTES", 1, raising=False)  # a bound that there was
+    words = [f"{a}{b}ux" for a in "bdfgk" for b in "aeiou"]
+    text = textwrap.fill(LONG, 70)
+    rows = [(n, f"- Our plant sends {w}. Parts to hall {k} by night.\n- We meet in hall {k}.\n\n{text}") for n, (w, k) in enumerate((w, k) for w in words for k in range(4))]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(4)
+    lists, widths = s.training_data(df, "text")
+    assert lists.count() == len(rows) and max(widths.values()) == pytest.approx(math.log((len(rows) + 0.5) / 0.5))
+    tagger = s.fit_tagger(df, "text", first=3, shard=30)
+    assert all(len(tagger.units(f"Our plant sends {w}. Parts to hall 9 by night. We meet in hall 2.")) == 2 for w in words)
+    again = s.fit_tagger(df.repartition(3), "text", first=3, shard=30)
+    assert (again.weights, again.chain, again.widths) == (tagger.weights, tagger.chain, tagger.widths)
+
+
 def test_a_tagger_is_kept(spark, tagger, tmp_path):
     tagger.widths = {12: 1.5}
     s.save_tagger(spark, tagger, f"{tmp_path}/tagger")
