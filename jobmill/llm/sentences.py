@@ -399,7 +399,7 @@ def example(items: list[str], seed: int) -> tuple[str, set[int]]:
     would have in a paragraph; some items meet without a blank."""
     text, ends = "", set()
     for k, item in enumerate(items):
-        thai = sum(_script(c) == "t" for c in item) * 2 > len(item)
+        thai = not item.isascii() and sum(_script(c) == "t" for c in item) * 2 > len(item)
         if thai:
             item = item.rstrip(ENDS)
         elif item[-1].isascii() and (item[-1].isalnum() or item[-1] == ")"):
